@@ -8,9 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality_rules, resampling, suffix_dedup, wrapper_induction
+from . import bpe, exact_dedup, mixing, near_dedup, quality_rules, resampling, suffix_dedup, token_shards, wrapper_induction
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -30,6 +31,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.quality_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.read(spark, token_shards.write(_read(spark, sf_dir, "documents"), WORD_BPE))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
