@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ WS = r"\p{IsWhite_Space}"
 FLOAT = r"[+-]?(?i:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with value computed once: a column that is used several times in
+    the making of the next one would double the expression at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(to_java(pattern))
 
@@ -35,11 +43,10 @@ def collapse(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final empty one doesn't count."""
-    parts = F.split(text, "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    last = F.size(parts)
-    # a carriage return before the end of a line goes; the last piece had no end
-    return F.transform(parts, lambda x, i: F.when((i < last - 1) | text.endswith("\n"), F.regexp_replace(x, r"\r\z", "")).otherwise(x))
+    # all but the last piece had an end, and may have had a carriage return before it
+    whole = F.regexp_replace(text, r"\r\n", "\n")
+    dropped = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(whole, "\n", -1), dropped)
 
 
 def utf8_length(text: Column) -> Column:
@@ -52,11 +59,19 @@ def ascii_lower(text: Column) -> Column:
 
 def normalise_cell(text: Column) -> Column:
     """Trimmed, with one layer of each markdown mark taken off."""
+
+    def strip(mark: str) -> Callable[[Column], Column]:
+        n = len(mark)
+
+        def step(x: Column) -> Column:
+            whole = x.startswith(mark) & x.endswith(mark) & (F.length(x) >= 2 * n)
+            return F.when(whole, trim(F.substr(x, F.lit(n + 1), F.length(x) - 2 * n))).otherwise(x)
+
+        return step
+
     t = trim(text)
     for mark in ("**", "__", "`", "*", "_"):
-        n = len(mark)
-        whole = t.startswith(mark) & t.endswith(mark) & (F.length(t) >= 2 * n)
-        t = F.when(whole, trim(F.substr(t, F.lit(n + 1), F.length(t) - 2 * n))).otherwise(t)
+        t = let(t, strip(mark))
     return t
 
 
@@ -106,10 +121,10 @@ def is_date(text: Column) -> Column:
 
 def cell_type(value: Column) -> Column:
     """empty, percentage, currency, number, date or string."""
-    t = trim(normalise_cell(value))
-    return (
-        F.when(t == "", "empty").when(is_percentage(t), "percentage").when(is_currency(t), "currency")
-        .when(is_number(t), "number").when(is_date(t), "date").otherwise("string")
+    return let(
+        trim(normalise_cell(value)),
+        lambda t: F.when(t == "", "empty").when(is_percentage(t), "percentage").when(is_currency(t), "currency")
+        .when(is_number(t), "number").when(is_date(t), "date").otherwise("string"),
     )
 
 
