@@ -5,7 +5,7 @@ read again before the next one. All but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmatch.llm import bpe, common, exact_dedup, mixing, near_dedup, queries, resampling
@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat both id
+    and text one."""
+    identity = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+    stays = exact_dedup.exact_dedup(docs).where("kept").select(identity(F.col("text_sha256")).alias("_key"))
+    keyed = docs.withColumn("_key", identity(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return keyed.join(stays, "_key", "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +35,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*docs.columns)
+    """Each document as often as the mix takes it; rows of one id as often as the most
+    taken of them. Rows without an id can't be told apart and are taken once."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    joined = docs.join(copies.where("doc_id is not null"), "doc_id", "left").withColumn("_copies", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("_copies")))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
