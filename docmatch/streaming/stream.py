@@ -15,9 +15,8 @@ from ..sources import manifest
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of new files; seq orders them within a micro-batch's file only."""
-    lines = spark.readStream.text(folder)
-    return lines.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("raw"))
+    """The non-blank lines of new files."""
+    return spark.readStream.text(folder).where(F.trim("value") != "").select(F.col("value").alias("raw"))
 
 
 def enrich(engine: Engine, lines: DataFrame, ids: list[str], out: str, checkpoint: str, base: str = "", available_now: bool = False) -> StreamingQuery:
@@ -27,6 +26,7 @@ def enrich(engine: Engine, lines: DataFrame, ids: list[str], out: str, checkpoin
     definitions = engine.registry.select(ids)
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df.select(F.monotonically_increasing_id().alias("seq"), "raw")  # order within a file
         try:
             recs = manifest.records(df)
         except Refusal as e:
