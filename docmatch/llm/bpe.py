@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Pieces remembered by a Python worker with their results, in each of two generations.
 MAX_PIECES = 200_000
 
@@ -146,6 +148,12 @@ class BytePairs:
             out += word(m)
         return out
 
+    def forget(self) -> None:
+        """Drops what was remembered, so that an idle Python worker holds no memory for
+        it; a task soon learns its frequent pieces again."""
+        self.pieces, self.older, self.words, self.compatible = {}, {}, {}, {}
+        common.release_memory()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -219,6 +227,7 @@ def _digest_batches(rank_file: str, pattern: str) -> Callable:
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     return run
 
@@ -229,6 +238,7 @@ def _encode_batches(rank_file: str, pattern: str) -> Callable:
         for b in batches:
             ids = [list(map(int, filter(None, coder.encoded(t.as_py() or "")[1].split(",")))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        coder.forget()
 
     return run
 

@@ -4,6 +4,8 @@ lineage, and packed rows for numpy-side shuffles."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +61,15 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Returns a Python worker's freed memory to the system. Workers are kept between
+    tasks, so what one task needed at its peak would stay taken from the executor."""
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def planes(a: np.ndarray) -> bytes:
     """An integer array as byte planes; planes of zeros vanish when Spark compresses."""
     if not len(a):

@@ -75,6 +75,7 @@ def _sketch_batches(k: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cat(n)), pa.array(cat(sig)), pa.array(cat(sig2)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], names=["doc_id", "n", "sig", "sig2", "sketch"]
             )
+        common.release_memory()
 
     return run
 
@@ -96,6 +97,7 @@ def _set_batches(bitmap: np.ndarray) -> Callable:
             for lo, hi in vec.chunks(offsets):
                 body += [s.tobytes() for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.binary())], names=["s_id", "body"])
+        common.release_memory()
 
     return run
 
@@ -118,6 +120,7 @@ def _estimate_batches(k: int, least: float) -> Callable:
             ok = np.fromiter((estimate(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], k) >= least for i in range(b.num_rows)), bool, b.num_rows)
             b = b.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+        common.release_memory()
 
     return run
 
@@ -135,6 +138,7 @@ def _verify_batches(percent: int) -> Callable:
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both) and both > 0
             b = b.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+        common.release_memory()
 
     return run
 
