@@ -104,7 +104,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(bucket, kind="stable")
     starts = common.group_starts(bucket[order])
-    return order, starts, np.append(starts[1:], len(order))
+    return order, starts, np.append(starts, len(order))[1:]
 
 
 ROWS = "bucket int, part int, kind int, blob binary"
