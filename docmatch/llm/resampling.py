@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling.
 
-Two bag-of-hashed-n-grams models (words and word pairs in 2 ** bits buckets) are
-estimated: one of the target text (labelled good documents of a bounded sample), one
-of the raw text (all documents). A document's log importance weight is the sum over
-its n-grams of log target / raw. Gumbel top-k on the weights draws k documents without
-replacement; k is the number of documents whose weight reaches the cutoff that best
-separates held-out good from bad labels.
+Two bag-of-hashed-n-grams models (words, word pairs and byte triples in 2 ** bits
+buckets; all pairs of a word with itself share one) are estimated: one of the target text
+(labelled good documents of a bounded sample), one of the raw text (all documents). A
+document's log importance weight is the sum over its n-grams of log target / raw; since
+that grows with length, documents compete by its mean per n-gram. Gumbel top-k draws k
+of them without replacement; k is the number of documents whose mean reaches the cutoff
+that best separates held-out good from bad labels.
 """
 
 from __future__ import annotations
@@ -25,15 +26,27 @@ BITS = 16
 MAX_LABELLED = 40_000
 
 
+#: The bucket of pairs of equal words.
+REPEAT = 0
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and pairs of neighbouring words, and their documents."""
+    """Buckets of all words, pairs of neighbouring words and byte triples, and their
+    documents."""
+    shift = vec.U64(64 - bits)
     w = vec.Words(data, offsets)
     at, h = w.windows(2)
-    shift = vec.U64(64 - bits)
-    return (
-        np.concatenate((vec.mix(w.hash) >> shift, h >> shift)).astype(np.int64),
-        np.concatenate((w.doc, w.doc[at])),
-    )
+    pairs = (h >> shift).astype(np.int64)
+    pairs[w.hash[at] == w.hash[at + 1]] = REPEAT
+    buckets, docs = [(vec.mix(w.hash) >> shift).astype(np.int64), pairs], [w.doc, w.doc[at]]
+    if len(data) >= 3:
+        b = data.astype(np.uint32)
+        triples = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        inside = doc[:-2] == doc[2:]
+        buckets.append(((triples[inside] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64))
+        docs.append(doc[:-2][inside])
+    return np.concatenate(buckets), np.concatenate(docs)
 
 
 def _count_batches(bits: int) -> Callable:
@@ -73,7 +86,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np
 
 
 def best_cutoff(weights: np.ndarray, good: np.ndarray) -> float | None:
-    """The weight above which the shares of good documents kept and bad ones rejected
+    """The score above which the shares of good documents kept and bad ones rejected
     have the largest sum; None unless both kinds are there."""
     if not good.any() or good.all():
         return None
@@ -114,14 +127,14 @@ def kth_largest(df: DataFrame, key: str, k: int) -> tuple[int, int]:
     return (prefix if prefix < 1 << 63 else prefix - (1 << 64)), need
 
 
-def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_features, log_weight, gumbel_key, kept``.
+def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.005, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, n_features, log_weight, score, gumbel_key, kept``;
+    score is the mean log weight of an n-gram.
 
     k: documents to draw; None: as many as reach the best cutoff on held-out labels.
-    temperature scales the noise (0: the plain top k by weight). A null or empty text
-    has weight 0. Of rows with equal keys (repeated ids) the order is settled by
-    weight; rows equal in both stay or go together, so k may be exceeded by copies of
-    one id. Without labels of both kinds nothing is rejected. Labels with a null id or
+    temperature scales the noise (0: the plain top k by score). A null or empty text
+    has score 0. Rows with equal keys (copies of one id) stay or go together, so k may
+    be exceeded by them. Without labels of both kinds nothing is rejected. Labels with a null id or
     quality aren't used; a toxic label never counts as target.
     """
     spark = docs.sparkSession
@@ -146,11 +159,12 @@ def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, t
 
     scored = src.mapInArrow(_score_batches(ratio, bits), "doc_id long, n_features long, log_weight double")
     noise = gumbel("doc_id", seed) if temperature else F.lit(0.0)
-    scored = common.table(scored.withColumn("gumbel_key", F.col("log_weight") + F.lit(float(temperature)) * noise), "scores")
+    scored = scored.withColumn("score", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
+    scored = common.table(scored.withColumn("gumbel_key", F.col("score") + F.lit(float(temperature)) * noise), "scores")
     if k is None:
-        held = scored.join(F.broadcast(sample.where("not fit")), "doc_id").select("log_weight", "good").toPandas()
-        cutoff = best_cutoff(held["log_weight"].to_numpy(), held["good"].to_numpy().astype(bool)) if len(held) else None
-        k = None if cutoff is None else scored.where(F.col("log_weight") >= F.lit(cutoff)).count()
+        held = scored.join(F.broadcast(sample.where("not fit")), "doc_id").select("score", "good").toPandas()
+        cutoff = best_cutoff(held["score"].to_numpy(), held["good"].to_numpy().astype(bool)) if len(held) else None
+        k = None if cutoff is None else scored.where(F.col("score") >= F.lit(cutoff)).count()
     n = scored.count()
     if k is None or k >= n:
         return scored.withColumn("kept", F.lit(True))
