@@ -25,10 +25,11 @@ from . import common
 
 MAGIC = b"DMRPAIR1"
 END_ID = 2
-MAX_WORDS = 300_000
+MAX_WORDS = 350_000
 MAX_ROUNDS = 10
 PAIRS_A_ROUND = 4096
-BIN_BITS = 20
+#: 256k bins of 8 bytes stay in a core's cache.
+BIN_BITS = 18
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -38,6 +39,18 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids by piece; what isn't there is made and kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, w: str) -> bytes:
+        self[w] = found = self.make(w)
+        return found
+
+
 class WordEncoder:
     """A tokenizers file that lower-cases, splits into runs of letters, single digits and
     runs of other signs, and drops white space. So a text's ids are those of its
@@ -50,7 +63,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._new)
         self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.model, self.symbols = self.tokenizer.model, _byte_symbols()
@@ -73,35 +86,27 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _new(self, w: str) -> bytes:
+        found = self.older.get(w)
+        if found is None:
+            found = self._piece(w)
+        return self._whole(w) if found is None else found
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if "<|" in text and any(s in text for s in self.special):
             return self._whole(text)
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            # these separate words for Python but not for the tokenizer
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                return self._whole(text)
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            fresh = {}
-            missing = []
-            for w in new:
-                old = self.older.get(w)
-                if old is None:
-                    old = self._piece(w)
-                if old is None:
-                    missing.append(w)
-                else:
-                    fresh[w] = old
-            if missing:
-                for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    fresh[w] = np.array(e.ids, "<u4").tobytes()
-            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.known) + len(fresh) > MAX_WORDS:
-                self.older, self.known = self.known, {}
-            self.known.update(fresh)
-        return b"".join(found)
+        # these separate words for Python but not for the tokenizer
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return self._whole(text)
+        if len(self.known) > MAX_WORDS:
+            self.older, self.known = self.known, _Known(self._new)
+        return b"".join(map(self.known.__getitem__, text.split()))
+
+
+    def forget(self) -> None:
+        self.known, self.older, self.stems = _Known(self._new), {}, {}
+        common.release_memory()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -264,6 +269,7 @@ def _write_batches(folder: str, tokenizer: str, base: int, end_id: int) -> Calla
             bodies = [b"".join(bodies)]
         if not counts:
             return
+        coder.forget()
         shard = context.partitionId()
         body = pack(pa.concat_arrays(ids), np.frombuffer(bodies[0], "<u4"), np.array(counts, np.int64), base)
         name = f"shard-{shard:06d}.tok"
