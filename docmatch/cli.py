@@ -95,7 +95,8 @@ def _run(a: argparse.Namespace) -> int:
         print(json.dumps({"name": "docmatch", "version": __version__, "input": "hash.v0", "output": "fingerprint.v0", "exit_codes": {"0": "all matched", "1": "partial", "2": "refused"}, "formats": list(D.FORMATS)}))
         return EXIT_OK
     if a.schema:
-        print(json.dumps({"type": "object", "required": ["version", "path"], "properties": {"version": {"const": "fingerprint.v0"}, "path": {"type": "string"}, "fingerprint": {"type": ["object", "null"]}, "tool_versions": {"type": "object"}}}))
+        some = dict(version=dict(const="fingerprint.v0"), path=dict(type="string"), fingerprint=dict(type=["object", "null"]), tool_versions=dict(type="object"))
+        print(json.dumps(dict(type="object", required=["version", "path"], properties=some)))
         return EXIT_OK
     known, trust = registry()
     if a.list:

@@ -70,7 +70,7 @@ def normalise_cell(text: Column) -> Column:
         return step
 
     t = trim(text)
-    for mark in ("**", "__", "`", "*", "_"):
+    for mark in "** __ ` * _".split():
         t = let(t, strip(mark))
     return t
 

@@ -20,6 +20,9 @@ from ..plans.definitions import Assertion
 
 
 
+TEXT_PDF = "pdf with text_path"
+
+
 def OK() -> Column:  # noqa: N802
     """No failure."""
     return F.lit(None).cast("string")
@@ -234,7 +237,7 @@ class Builder:
             # rows count from the used range's first one, as those of header_row_match do
             mine = F.slice(grid["rows"], F.lit(rows[0] + 1), F.lit(rows[1] - rows[0] + 1))
             found = F.exists(mine, lambda r: F.coalesce(S.matches(F.try_element_at(r, F.lit(col + 1)), pattern), F.lit(False)))
-            return _fail_unless(found, f"no cell in column {column} rows {row_range} matched pattern '{pattern}'")
+            return _fail_unless(found, f"no cell in column {column} rows {row_range}", f" matched pattern '{pattern}'")
 
         return self._grid(sheet, then)
 
@@ -260,7 +263,7 @@ class Builder:
             def judge(found: Column) -> Column:
                 best = F.coalesce(F.array_max(found), F.lit(0))
                 row = F.when(best > 0, (F.array_position(found, best) + rows[0]).cast("string")).otherwise("none")
-                return _fail_unless(best >= min_match, f"no row in range {row_range} reached min_match {min_match}; best row was ", row, " with ", best, " matches")
+                return _fail_unless(best >= min_match, f"no row in range {row_range} reached", f" min_match {min_match}; best row was ", row, " with ", best, " matches")
 
             return S.let(counts, judge)
 
@@ -318,8 +321,8 @@ class Builder:
         return (
             F.when(kind.isin("html", "markdown"), then)
             .when(kind == "pdf", F.when(F.col("view").isNull(), F.lit("No text_path provided (E_NO_TEXT)")).otherwise(then))
-            .when(kind == "text", F.lit("Heading assertions require html or markdown format, or pdf with text_path (text format has no heading structure)"))
-            .otherwise(F.lit("Content assertions with heading structure require html, markdown, or pdf with text_path"))
+            .when(kind == "text", F.lit(f"Heading assertions require html or markdown format, or {TEXT_PDF} (text format has no heading structure)"))
+            .otherwise(F.lit(f"Content assertions with heading structure require html, markdown, or {TEXT_PDF}"))
         )
 
     def _text_source(self, name: str, then: Column) -> Column:
@@ -345,7 +348,7 @@ class Builder:
         if bad := _bad_regex(pattern):
             return self._content(F.lit(bad))
         found = F.exists("view.headings", lambda h: (h["level"] == level) & S.matches(h["text"], pattern))
-        return self._content(_fail_unless(found, f"No level-{level} heading matches pattern '{pattern}'"))
+        return self._content(_fail_unless(found, f"No level-{level} heading", f" matches pattern '{pattern}'"))
 
     def _text_contains(self, text: str) -> Column:
         return self._text_source("text_contains", _fail_unless(F.contains("view.normalized", F.lit(text)), f"Text '{text}' not found in document"))
@@ -464,7 +467,7 @@ class Builder:
             return (F.size(row) >= min_cells) & S.let(filled, lambda x: (F.size(x) == 1) & S.matches(F.try_element_at(x, F.lit(1)), pattern))
 
         found = F.exists("view.tables", lambda t: F.exists(t["rows"], lambda r: F.coalesce(full(r), F.lit(False))))
-        return self._html(_fail_unless(found, f"no full-width row matched '{pattern}' with min_cells {min_cells}"))
+        return self._html(_fail_unless(found, f"no full-width row matched '{pattern}'", f" with min_cells {min_cells}"))
 
     @staticmethod
     def _bounds(n: Column, low: int | None, high: int | None, few: tuple, many: tuple) -> Column:

@@ -21,7 +21,7 @@ from . import assertions as A
 from . import hybrid
 
 EXTENSIONS = {"xlsx": ("xlsx", "xls"), "csv": ("csv",), "pdf": ("pdf",), "html": ("html", "htm")}
-GENERIC = ("amount", "cost", "fair value", "issuer", "metric", "portfolio company", "security")
+GENERIC = tuple("security|portfolio company|metric|issuer|fair value|cost|amount".split("|"))
 EPSILON = 2.220446049250313e-16
 
 

@@ -140,10 +140,10 @@ def parse_markdown(text: str) -> dict:
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 IGNORED = frozenset("script style head meta link title noscript".split())
-BLOCK = frozenset("article aside blockquote div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 HEADS = {f"h{i}": i for i in range(1, 7)}
+BLOCK = frozenset(HEADS) | frozenset("p div section table ul ol li dl dd dt pre hr nav main header footer form fieldset figure figcaption blockquote aside article".split())
 ENDS_P = BLOCK - {"li", "dt", "dd"} | frozenset("address center details dialog dir menu summary search hgroup".split())
-TABLE_PARTS = frozenset("html body table thead tbody tfoot tr td th colgroup col caption".split())
+TABLE_PARTS = frozenset("caption col colgroup th td tr tfoot tbody thead table body html".split())
 
 
 class Node:

@@ -14,7 +14,7 @@ import yaml
 from ..functions.regexlang import error_of
 from .refusals import Refusal
 
-FORMATS = ("xlsx", "csv", "pdf", "html", "markdown", "text")
+FORMATS = tuple("xlsx csv pdf html markdown text".split())
 
 #: Assertion -> (required parameters, optional ones with defaults). A single parameter
 #: named "" means that the assertion is written as a plain string.
@@ -274,29 +274,30 @@ def patterns_of(a: Assertion) -> list[str]:
     return found + [p for k in ("patterns", "tokens") for p in a.params.get(k, [])] + [c["pattern"] for c in a.params.get("columns", [])]
 
 
+def _object(required: list[str], **properties: dict) -> dict:
+    return dict(type="object", additionalProperties=False, required=required, properties=properties)
+
+
 def json_schema() -> dict:
     """JSON Schema of a definition file."""
-    types = {str: {"type": "string"}, int: {"type": "integer", "minimum": 0}, float: {"type": "number"}, list: {"type": "array"}}
+    text, whole, listed = dict(type="string"), dict(type="integer", minimum=0), dict(type="array")
+    types = {str: text, int: whole, float: dict(type="number"), list: listed}
     options = []
     for kind, (required, optional) in KINDS.items():
         if "" in required:
-            body: dict = {"type": "string"}
+            body = text
         else:
-            body = {
-                "type": "object", "additionalProperties": False, "required": list(required),
-                "properties": {k: types[t] for k, t in required.items()} | {k: {"type": ["string", "null"] if k == "bind" else ["integer", "null"]} for k in optional},
-            }
-        note = {"description": "not evaluated in this version"} if kind in UNSUPPORTED else {}
-        options.append({"type": "object", "additionalProperties": False, "required": [kind], "properties": {"name": {"type": "string"}, kind: body}} | note)
-    extract = {"type": "object", "additionalProperties": False, "required": ["name", "type"], "properties": {k: {} for k in ("name", "type", "anchor_heading", "index", "anchor", "pattern", "within_chars", "sheet", "range")}}
-    text = {"type": "string"}
-    return {
-        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": False, "required": ["fingerprint_id", "format", "assertions"],
-        "properties": {
-            "fingerprint_id": text, "format": {"enum": list(FORMATS)}, "valid_from": text, "valid_until": text, "parent": text, "assertions": {"type": "array", "items": {"oneOf": options}},
-            "extract": {"type": "array", "items": extract}, "content_hash": {"type": "object", "required": ["algorithm", "over"], "properties": {"algorithm": {"enum": ["blake3"]}, "over": {"type": "array", "items": text}}},
-        },
-    }
+            more = {k: dict(type=["string" if k == "bind" else "integer", "null"]) for k in optional}
+            body = _object(list(required), **{k: types[t] for k, t in required.items()}, **more)
+        note = dict(description="not evaluated in this version") if kind in UNSUPPORTED else {}
+        options.append(_object([kind], name=text, **{kind: body}) | note)
+    strings = listed | dict(items=text)
+    fields = {k: whole if k in ("index", "within_chars") else text for k in ("name", "type", "anchor_heading", "index", "anchor", "pattern", "within_chars", "sheet", "range")}
+    hashed = _object(["algorithm", "over"], algorithm=dict(enum=["blake3"]), over=strings)
+    plain = dict.fromkeys(("fingerprint_id", "valid_from", "valid_until", "parent"), text)
+    lists = dict(assertions=listed | dict(items=dict(oneOf=options)), extract=listed | dict(items=_object(["name", "type"], **fields)))
+    whole_file = _object(["fingerprint_id", "format", "assertions"], format=dict(enum=list(FORMATS)), content_hash=hashed, **plain, **lists)
+    return {"$schema": "http://json-schema.org/draft-07/schema#"} | whole_file
 
 
 # Registry
