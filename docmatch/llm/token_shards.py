@@ -26,10 +26,11 @@ from . import common
 MAGIC = b"DMRPAIR1"
 END_ID = 2
 MAX_WORDS = 350_000
-MAX_ROUNDS = 10
-PAIRS_A_ROUND = 4096
-#: 256k bins of 8 bytes stay in a core's cache.
-BIN_BITS = 18
+#: A rule costs 12 bytes and each of its uses saves a symbol of two bytes and some bits.
+MIN_USES = 4
+#: Each round's least count is so many times smaller than the one's before.
+FALL = 2
+BIN_BITS = 20
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -118,45 +119,77 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def re_pair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur at least ``least`` times among the given ones, by exact
+    counts: the pairs, the most frequent first, the rank of the pair at each place or -1,
+    and where a pair was seen to occur less than ``MIN_USES`` times."""
+    # a bin counts all pairs that share it, so no frequent pair is in a bin below least
+    slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+    bins = np.bincount(slot, minlength=1 << BIN_BITS)
+    many = bins[slot]
+    rare = many < MIN_USES
+    some = np.flatnonzero(many >= least)
+    order = some[np.argsort(key[some])]
+    sorted_ = key[order]
+    starts = common.group_starts(sorted_)
+    count = np.diff(np.append(starts, len(sorted_)))
+    rare[order] = np.repeat(count < MIN_USES, count)
+    hot = np.flatnonzero(count >= least)
+    hot = hot[np.argsort(-count[hot], kind="stable")]
+    number = np.full(len(count), -1, np.int64)
+    number[hot] = np.arange(len(hot))
+    rank = np.full(len(key), -1, np.int64)
+    rank[order] = np.repeat(number, count)
+    return sorted_[starts[hot]], rank, rare
+
+
+def re_pair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """ids, and whether each is the last of its document. The remaining symbols, their
     last flags, and the rules of each round; nonterminals count up from base. A round
-    takes the most frequent pairs together, overlaps going to the left one."""
-    s, rules, top = ids.astype(np.int64), [], base
-    for _ in range(rounds):
-        if len(s) < 4:
+    takes the pairs down to a part of the highest count together; where two of them
+    overlap the more frequent one has the place. It ends when no pair has ``MIN_USES``
+    places that don't overlap."""
+    s, rules, top, least = ids.astype(np.int64), [], base, max(MIN_USES, len(ids) // FALL)
+    # a pair of older symbols only gets rarer: where it is too rare it isn't counted again
+    open_ = ~last
+    open_[-1:] = False
+    while True:
+        places = np.flatnonzero(open_)
+        key = s[places] << 32 | s[places + 1]
+        # of overlapping places of one pair (runs of a symbol) every other one counts
+        again = np.flatnonzero((np.diff(places) == 1) & (key[1:] == key[:-1])) + 1
+        if len(again):
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(again) > 1)))
+            counted = np.ones(len(places), bool)
+            counted[again[(again - again[starts][common.spread(starts, len(again))]) % 2 == 0]] = False
+            places, key = places[counted], key[counted]
+        pairs, rank, rare = _frequent(key, least)
+        if not len(pairs) and least == MIN_USES:
             break
-        key = s[:-1] << 24 | s[1:]
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-        open_ = ~last[:-1]
-        # one pair owns each bin for a round; pairs that share its bin wait for the next
-        owner = np.full(1 << BIN_BITS, -1, np.int64)
-        owner[slot[open_]] = key[open_]
-        mine = open_ & (owner[slot] == key)
-        count = np.bincount(slot[mine], minlength=1 << BIN_BITS)
-        least = max(4, len(s) >> 17)
-        hot = np.argpartition(count, -PAIRS_A_ROUND)[-PAIRS_A_ROUND:]
-        hot = hot[count[hot] >= least]
-        if not len(hot):
-            break
-        number = np.full(1 << BIN_BITS, -1, np.int64)
-        number[hot] = np.arange(len(hot))
-        at = np.flatnonzero(mine & (number[slot] >= 0))
-        # of overlapping places (runs of neighbours) every other one is taken
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-        at = at[(at - at[starts][common.spread(starts, len(at))]) % 2 == 0]
-        used, which = np.unique(number[slot[at]], return_inverse=True)
-        pair = owner[hot[used]]
-        rules.append(np.stack([pair >> 24, pair & 0xFFFFFF], 1))
+        least = max(MIN_USES, least // FALL)
+        open_[places[rare]] = False
+        if not len(pairs):
+            continue
+        at, rank = places[rank >= 0], rank[rank >= 0]
+        near = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~near | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+        # a pair that lost too many places isn't worth a rule; it may come again
+        made = np.bincount(rank[wins], minlength=len(pairs)) >= MIN_USES
+        wins &= made[rank]
+        at, which = at[wins], (np.cumsum(made) - 1)[rank[wins]]
+        pair = pairs[made]
+        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
         s[at] = top + which
         last[at] = last[at + 1]
+        before = at[at > 0] - 1
+        open_[before] = ~last[before]
+        open_[at] = ~last[at] & (at + 2 < len(s))
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        shrunk = len(at) / len(s)
-        s, last = s[keep], last[keep]
-        top += len(used)
-        if shrunk < 0.02 or top + PAIRS_A_ROUND >= 1 << 24:
-            break
+        s, last, open_ = s[keep], last[keep], open_[keep]
+        top += len(pair)
     return s, last, rules
 
 

@@ -211,6 +211,20 @@ def test_re_pair_shrinks_and_expands():
     assert np.frombuffer(e.encode(odd), "<u4").tolist() == e.tokenizer.encode(odd, add_special_tokens=False).ids
 
 
+def test_re_pair_ends_when_no_pair_repeats():
+    r = np.random.default_rng(8)
+    ids = np.minimum(r.zipf(1.3, 60_000), 5000) + 2
+    ids[r.integers(0, len(ids), 600)] = 2
+    ids[1000:1100], ids[-1] = 7, 2
+    s, last, rules = token_shards.re_pair(ids, ids == 2, 6000)
+    assert (token_shards.expand(s, rules, 6000) == ids).all() and last.sum() == (ids == 2).sum()
+    left = Counter()
+    for k in range(len(s) - 1):
+        if not last[k] and not (k > 1 and s[k - 1] == s[k] == s[k + 1]):
+            left[s[k], s[k + 1]] += 1
+    assert max(left.values()) < token_shards.MIN_USES
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs).collect()
     sizes = Counter()
