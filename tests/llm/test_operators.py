@@ -329,6 +329,12 @@ def test_wrapper_induction(spark):
     assert wrapper_induction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_constant_nodes_in_landmarks(spark):
+    rows = [(i, f"https://h.example/{i}", PAGE.format(n=i, body=f"<article><p>Story {i}</p><div class='more'>Read more here</div><div>Part {i}</div></article>")) for i in range(8)]
+    got = wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i}\nPart {i}" for i in range(8)}
+
+
 def test_simple_tree_matching():
     a = wrapper_induction.Page("<body><nav></nav><div><p>x</div><footer></footer>").structure()
     b = wrapper_induction.Page("<body><div><p>y</div><section></section><footer></footer>").structure()
