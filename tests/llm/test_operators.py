@@ -335,6 +335,20 @@ def test_wrapper_constant_nodes_in_landmarks(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Story {i}\nPart {i}" for i in range(8)}
 
 
+def test_wrapper_of_every_layout(spark):
+    one = "<div><ul class=x><li>Start<li>Shop</ul><div>Item {n}</div></div>"
+    two = "<section><section><table><tr><td>Same box</table></section><blockquote>Quote {n}</blockquote></section>"
+    odd = "<div><ul class=x><li>Start<li>Shop</ul><div>Item {n}</div><dl><dt>Extra {n}</dl></div>"
+    rows = [(0, "https://h.example/0", None), (1, "https://h.example/1", "<p>cut")]
+    rows += [(i, f"https://h.example/{i}", f"<html><body>{(one if i % 2 else two).format(n=i)}</body></html>") for i in range(2, 22)]
+    # a page with a text of its own comes first in its layout; a rare layout takes the nearest wrapper
+    rows[2] = (2, rows[2][1], rows[2][2].replace("Same box", "Other box"))
+    rows.append((22, "https://h.example/22", f"<html><body>{odd.format(n=22)}</body></html>"))
+    got = {r.page_id: r.text for r in wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Item {i}" if i % 2 else f"Quote {i}" for i in range(3, 22)} | {0: "", 1: "cut", 22: "Item 22\nExtra 22"}
+    assert {i: t for i, t in got.items() if i != 2} == want
+
+
 def test_simple_tree_matching():
     a = wrapper_induction.Page("<body><nav></nav><div><p>x</div><footer></footer>").structure()
     b = wrapper_induction.Page("<body><div><p>y</div><section></section><footer></footer>").structure()
