@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import FULL_TEXTS
+
 MIT = """MIT License
 Copyright (c) year holder
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -76,7 +78,7 @@ def canonical_text(text: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    found = {}
+    found = {digest: licence for licence, digest in FULL_TEXTS}
     for licence, text in KNOWN:
         c = canonical_text(text)
         if not re.search(ANCHORS, c):
@@ -99,7 +101,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no licence. Repeated rows give repeated results; an empty
     table gives an empty result; other columns aren't read. The known texts are a fixed
-    table of a few rows, so their side of the hash join is broadcast.
+    table of about a hundred rows, so their side of the hash join is broadcast.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(known_digests().items()), "digest string, known string")

@@ -9,6 +9,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +63,18 @@ def test_license_scan(spark, docs, empty):
         assert license_scan.known_digests()[hashlib.sha256(license_scan.canonical_text(text).encode()).hexdigest()] == licence
 
 
+def test_license_scan_full_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(name, (folder / name).read_text()) for name in want]
+    texts += [(name, " ".join(t.split())) for name, t in texts] + [(name, t + "\nand more") for name, t in texts]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.license for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want[name] if i < 2 * len(want) else None for i, (name, _) in enumerate(texts)}
+
+
 def brute_suffix(rows, length=50):
     out = []
     texts = [(i, (t or "").encode()) for i, t, *_ in rows]
