@@ -517,6 +517,13 @@ def i11_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", F.round("bm25", 7).alias("bm25"))
 
 
+@query()
+def i11_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i11 over all languages; without SQL, since \\p{L} and \\p{N} split more than i11's SQL."""
+    hits = hybrid.lexical(_t(spark, sf_dir, "documents"), "idiot")
+    return hits.select("id", F.round("bm25", 7).alias("bm25"))
+
+
 # Ledger and reports
 
 

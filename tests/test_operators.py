@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 
@@ -23,6 +24,17 @@ def test_blake3_vectors():
     assert content_hash({"a": {"x": 1, "b": 2}}, ["a"]) == content_hash({"a": {"b": 2, "x": 1}}, ["a"]) != content_hash({"a": {"b": 2, "x": 1}}, ["a", "c"])
 
 
+def test_bm25_over_all_languages(spark, tmp_path):
+    rows = [(1, "An idiot, an IDIOT", "en"), (2, "Plain words here", "en"), (3, "Ein Idiot\u2014größer als 3 andere", "de"), (4, "l\u2019idiot \u00abidiote\u00bb été", "fr"), (5, "", "en"), (6, "nada de nada", None), (7, "idiot", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    ts = {i: "".join(c if c.isalpha() or c.isnumeric() else " " for c in t.lower()).split() for i, t, _ in rows}
+    df, mean = sum("idiot" in t for t in ts.values()), sum(map(len, ts.values())) / len(ts)
+    idf = math.log(1 + (len(ts) - df + 0.5) / (df + 0.5))
+    want = {i: idf * t.count("idiot") * 2.2 / (t.count("idiot") + 1.2 * (0.25 + 0.75 * len(t) / mean)) for i, t in ts.items() if "idiot" in t}
+    got = {r.id: r.bm25 for r in catalog.queries()["i11_bm25_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 4, 7} and got == pytest.approx(want, abs=1e-6)
+
+
 def test_regex_language():
     assert compile_python("a$").search("a\n") is None and compile_python(r"(?i)É").search("é") and compile_python(escape("a.b*c")).fullmatch("a.b*c")
     assert to_java("a$").endswith(r"a\z") and to_java("(?m)a$").endswith("a$") and to_java("[$]").endswith("[$]")
