@@ -5,25 +5,29 @@ read again before the next one. All but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmatch.llm import bpe, common, exact_dedup, mixing, near_dedup, queries, resampling
 
 
+def _identity(sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Rows that the quality classifier rejects go, also where an id is null or repeats
+    with other texts; rows that repeat both id and text have one verdict."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = resampling.quality_resample(docs, labels).where("not kept").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_anti").select(*docs.columns)
+    judged = resampling.quality_resample(docs, labels, with_digest=True).where("not kept").select(_identity(F.col("text_sha256")).alias("_key")).distinct()
+    return docs.withColumn("_key", _identity(F.sha2(F.coalesce("text", F.lit("")), 256))).join(judged, "_key", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows that repeat both id
     and text one."""
-    identity = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
-    stays = exact_dedup.exact_dedup(docs).where("kept").select(identity(F.col("text_sha256")).alias("_key"))
-    keyed = docs.withColumn("_key", identity(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    stays = exact_dedup.exact_dedup(docs).where("kept").select(_identity(F.col("text_sha256")).alias("_key"))
+    keyed = docs.withColumn("_key", _identity(F.sha2(F.coalesce("text", F.lit("")), 256)))
     first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return keyed.join(stays, "_key", "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
 

@@ -65,7 +65,7 @@ def _count_batches(bits: int) -> Callable:
     return count
 
 
-def _score_batches(ratio: np.ndarray, bits: int) -> Callable:
+def _score_batches(ratio: np.ndarray, bits: int, also: tuple[str, ...] = ()) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = vec.utf8(b.column(1))
@@ -74,7 +74,7 @@ def _score_batches(ratio: np.ndarray, bits: int) -> Callable:
                 f, d = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bits)
                 total[lo:hi] = np.bincount(d, weights=ratio[f], minlength=hi - lo)
                 n[lo:hi] = np.bincount(d, minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total)], names=["doc_id", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), *b.columns[2:]], names=["doc_id", "n_features", "log_weight", *also])
 
     return score
 
@@ -127,9 +127,10 @@ def kth_largest(df: DataFrame, key: str, k: int) -> tuple[int, int]:
     return (prefix if prefix < 1 << 63 else prefix - (1 << 64)), need
 
 
-def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.005, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.005, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_features, log_weight, score, gumbel_key, kept``;
-    score is the mean log weight of an n-gram.
+    score is the mean log weight of an n-gram. with_digest: also ``text_sha256``, which
+    tells rows of one id (or none) apart.
 
     k: documents to draw; None: as many as reach the best cutoff on held-out labels.
     temperature scales the noise (0: the plain top k by score). A null or empty text
@@ -157,7 +158,9 @@ def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, t
     raw[pdf["bucket"]], target[pdf["bucket"]] = pdf["raw"], pdf["target"]
     ratio = log_ratio(raw, target) if target.sum() else np.zeros(1 << bits)
 
-    scored = src.mapInArrow(_score_batches(ratio, bits), "doc_id long, n_features long, log_weight double")
+    also = ("text_sha256",) if with_digest else ()
+    keyed = src.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)) if with_digest else src
+    scored = keyed.mapInArrow(_score_batches(ratio, bits, also), "doc_id long, n_features long, log_weight double" + "".join(f", {c} string" for c in also))
     noise = gumbel("doc_id", seed) if temperature else F.lit(0.0)
     scored = scored.withColumn("score", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
     scored = common.table(scored.withColumn("gumbel_key", F.col("score") + F.lit(float(temperature)) * noise), "scores")

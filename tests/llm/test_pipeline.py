@@ -26,6 +26,16 @@ def folder(spark, tmp_path_factory):
     return str(d), rows
 
 
+def test_classifier_drops_rejected_rows_only(spark, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    path, _ = folder
+    junk = lambda i: " ".join(f"{w}%%%" for w in words(i, 60).split())
+    more = [(None, junk(5)), (None, words(7, 67)), (5000, words(9, 69)), (5000, junk(9)), (5001, junk(11))]
+    docs = spark.read.parquet(f"{path}/documents.parquet").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, path).collect())
+    assert [left[x] for x in more] == [0, 1, 1, 0, 0]
+
+
 def test_stages(spark, folder):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     path, rows = folder
