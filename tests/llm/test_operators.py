@@ -157,6 +157,16 @@ def test_risk_control(spark):
     assert {r.good: r.k for r in got}[False] == 0.0 and {r.good: r.k for r in got}[True] > 0.9
 
 
+def test_small_strata_share_cutoffs(spark):
+    # two strata of their own; the others are too small for cutoffs one by one
+    lang = lambda i: "a" if i < 1500 else None if i < 2900 else f"l{i % 40}"
+    rows = [(i, words(i, 80), lang(i)) for i in range(4500)] + [(i, words(i, 80).replace(" ", "%%% "), lang(i)) for i in range(4500, 4550)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i < 4500)) for i in range(4550)], "doc_id long, quality int")
+    got = quality_rules.quality_rules(d, lab, max_strata=2).groupBy((F.col("doc_id") < 4500).alias("good")).agg(F.avg(F.col("kept").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.good: r.n for r in got} == {True: 4500, False: 50} and {r.good: r.k for r in got}[False] == 0.0 and {r.good: r.k for r in got}[True] > 0.9
+
+
 def test_resampling_matches_brute_force(spark, docs, labels, empty):
     got = resampling.quality_resample(docs, labels, k=8, temperature=0.0).collect()
     feats = {}
