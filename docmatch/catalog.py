@@ -401,12 +401,12 @@ _MATCH = r"""WITH t AS (SELECT doc_id, contains(text, '@mail') AS m1, regexp_mat
 w AS (SELECT *, m1 AND m2 AS mail, p1 AND p2 AND p3 AS prose, CASE WHEN m1 AND m2 THEN 'mail.v1' WHEN p1 AND p2 AND p3 THEN 'prose.v1' ELSE 'latin.v1' END AS won FROM t) """
 
 
-@query(_MATCH + """SELECT doc_id, won AS fingerprint_id, (mail OR prose OR l1) AS matched, CASE WHEN NOT (mail OR prose OR l1) THEN 'Pattern ''(?i)[aeiou]'' not found in document' END AS reason,
+@query(_MATCH + """SELECT doc_id, won AS template_id, (mail OR prose OR l1) AS matched, CASE WHEN NOT (mail OR prose OR l1) THEN 'Pattern ''(?i)[aeiou]'' not found in document' END AS reason,
   CASE WHEN mail THEN 1 WHEN prose THEN 2 ELSE 3 END::BIGINT AS attempts, CASE WHEN mail THEN 'prose.v1,latin.v1' WHEN prose THEN 'latin.v1' ELSE '' END AS later FROM w""")
 def w02_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching root of each document, the attempts up to it and the roots after."""
     e = _evaluated(spark, sf_dir)
-    return e.select("doc_id", "chosen.fingerprint_id", "chosen.matched", "chosen.reason", F.size("roots").cast("long").alias("attempts"), F.array_join("later", ",").alias("later"))
+    return e.select("doc_id", "chosen.template_id", "chosen.matched", "chosen.reason", F.size("roots").cast("long").alias("attempts"), F.array_join("later", ",").alias("later"))
 
 
 @query(_MATCH + """SELECT doc_id, CASE WHEN NOT p1 THEN 1 WHEN NOT p2 THEN 2 ELSE 3 END::BIGINT AS n_results, prose AS matched,
@@ -421,13 +421,13 @@ def w01_short_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN won = 'prose.v1' THEN CASE c1::INT + c2::INT WHEN 1 THEN 'selected' WHEN 0 THEN 'no_child_match' ELSE 'ambiguous' END END AS status FROM w""")
 def g03_child_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evaluated(spark, sf_dir).select("doc_id", engine.routing(F.col("children")).alias("r"))
-    return e.select("doc_id", F.col("r.evaluated_child_count").cast("long").alias("evaluated"), F.col("r.matched_child_count").cast("long").alias("matched"), F.col("r.selected_child_fingerprint_id").alias("selected"), "r.status")
+    return e.select("doc_id", F.col("r.evaluated_child_count").cast("long").alias("evaluated"), F.col("r.matched_child_count").cast("long").alias("matched"), F.col("r.selected_child_template_id").alias("selected"), "r.status")
 
 
 @query(_MATCH + ", f AS (SELECT unnest([CASE WHEN NOT m1 THEN 'text_contains__mail' END, CASE WHEN NOT m2 THEN 'text_regex__a_z_4' END]) AS name FROM w) SELECT name, COUNT(*) AS n FROM f WHERE name IS NOT NULL GROUP BY name")
 def g22_failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = engine.with_results(text_docs(spark, sf_dir), DEFINITIONS[0], "r", True)
-    return reports.failure_histogram(d.select(F.struct(F.col("r").alias("assertions")).alias("fingerprint")))
+    return reports.failure_histogram(d.select(F.struct(F.col("r").alias("assertions")).alias("template")))
 
 
 @query(_MATCH + "SELECT CASE WHEN bool_or(NOT (mail OR prose OR l1) OR (won = 'prose.v1' AND c1 = c2)) THEN 'PARTIAL' ELSE 'ALL_MATCHED' END AS outcome FROM w")
@@ -530,13 +530,13 @@ def i11_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    raw = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("fingerprint").alias("tool"), F.col("event_type").alias("outcome"), ts.alias("ts")))
+    raw = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("docmatch").alias("tool"), F.col("event_type").alias("outcome"), ts.alias("ts")))
     return ledger.columns(e.select(F.col("event_id").alias("seq"), raw.alias("raw")))
 
 
 @query("SELECT event_id AS line_no, event_type AS outcome FROM events WHERE event_type = 'click' AND date_trunc('second', ts) >= TIMESTAMP '2024-01-05 00:00:00' AND date_trunc('second', ts) <= TIMESTAMP '2024-02-10 00:00:00'")
 def v07_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.query(_ledger(spark, sf_dir), "fingerprint", "2024-01-05T00:00:00Z", "2024-02-10T01:00:00+01:00", "click").select("line_no", "outcome")
+    return ledger.query(_ledger(spark, sf_dir), "docmatch", "2024-01-05T00:00:00Z", "2024-02-10T01:00:00+01:00", "click").select("line_no", "outcome")
 
 
 @query("SELECT COUNT(*) AS n, MAX(event_id) AS last_id FROM events")
@@ -546,9 +546,9 @@ def g17_ledger_count_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _status_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("doc_id") % 10
-    routing = F.struct(F.when(c == 5, "ambiguous").when(c == 6, "no_child_match").when(c < 5, "selected").alias("status"), F.when(c < 5, F.concat(F.lit("bdc-soi-"), "lang", F.lit(".v1"))).alias("selected_child_fingerprint_id"))
-    fp = F.when(c < 8, F.struct(F.lit("bdc-soi.v1").alias("fingerprint_id"), (c != 7).alias("matched"), routing.alias("child_routing")))
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("family"), (c == 8).alias("_skipped"), F.when(c == 9, "REFUSAL").alias("outcome"), fp.alias("fingerprint"))
+    routing = F.struct(F.when(c == 5, "ambiguous").when(c == 6, "no_child_match").when(c < 5, "selected").alias("status"), F.when(c < 5, F.concat(F.lit("bdc-soi-"), "lang", F.lit(".v1"))).alias("selected_child_template_id"))
+    fp = F.when(c < 8, F.struct(F.lit("bdc-soi.v1").alias("template_id"), (c != 7).alias("matched"), routing.alias("child_routing")))
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("family"), (c == 8).alias("_skipped"), F.when(c == 9, "REFUSAL").alias("outcome"), fp.alias("template"))
     return reports.status(d)
 
 
@@ -561,7 +561,7 @@ def g18_family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.family_summary(_status_records(spark, sf_dir))
 
 
-@query(_STATUS + "SELECT family, 'bdc-soi-' || lang || '.v1' AS fingerprint_id, COUNT(*) AS n FROM r WHERE status = 'matched' GROUP BY ALL")
+@query(_STATUS + "SELECT family, 'bdc-soi-' || lang || '.v1' AS template_id, COUNT(*) AS n FROM r WHERE status = 'matched' GROUP BY ALL")
 def g18_matched_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.matched_by_id(_status_records(spark, sf_dir))
 
@@ -591,13 +591,13 @@ def g21_parity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.parity_summary(reports.parity(*_routes(spark, sf_dir)))
 
 
-@query(_LEGACY + """SELECT path, CASE WHEN open_ THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN NOT open_ THEN new_route ELSE old_route END AS taken_route, CASE WHEN NOT open_ THEN 'fingerprint' WHEN old_route IS NOT NULL THEN 'legacy' ELSE 'unresolved' END AS source,
+@query(_LEGACY + """SELECT path, CASE WHEN open_ THEN 'unmatched' ELSE 'matched' END AS status, CASE WHEN NOT open_ THEN new_route ELSE old_route END AS taken_route, CASE WHEN NOT open_ THEN 'template' WHEN old_route IS NOT NULL THEN 'legacy' ELSE 'unresolved' END AS source,
   CASE WHEN open_ THEN 'unmatched' WHEN old_route IS NULL THEN 'no_legacy_route' WHEN differs THEN 'route_changed' END AS diff FROM r""")
 def j18_consumer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.consume(*_routes(spark, sf_dir))
 
 
-@query(_LEGACY + "SELECT COUNT(*) AS records, COUNT(*) FILTER (WHERE NOT open_) AS from_fingerprint, COUNT(*) FILTER (WHERE open_ AND old_route IS NOT NULL) AS from_legacy, COUNT(*) FILTER (WHERE open_ AND old_route IS NULL) AS unresolved, COUNT(*) FILTER (WHERE open_ OR old_route IS NULL OR differs) AS diffs FROM r")
+@query(_LEGACY + "SELECT COUNT(*) AS records, COUNT(*) FILTER (WHERE NOT open_) AS from_template, COUNT(*) FILTER (WHERE open_ AND old_route IS NOT NULL) AS from_legacy, COUNT(*) FILTER (WHERE open_ AND old_route IS NULL) AS unresolved, COUNT(*) FILTER (WHERE open_ OR old_route IS NULL OR differs) AS diffs FROM r")
 def g20_consumer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.consumer_summary(reports.consume(*_routes(spark, sf_dir)))
 

@@ -38,7 +38,7 @@ def registry() -> tuple[D.Registry, list[str]]:
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docmatch")
     p.add_argument("input", nargs="?")
-    p.add_argument("--fp", "--fingerprint", action="append", default=[])
+    p.add_argument("--fp", "--template", action="append", default=[])
     p.add_argument("--jobs", type=int)
     p.add_argument("--base", default="")
     for flag in ("diagnose", "no-witness", "progress", "list", "describe", "schema", "version"):
@@ -92,10 +92,10 @@ def _run(a: argparse.Namespace) -> int:
         print(f"docmatch {__version__}")
         return EXIT_OK
     if a.describe:
-        print(json.dumps({"name": "docmatch", "version": __version__, "input": "hash.v0", "output": "fingerprint.v0", "exit_codes": {"0": "all matched", "1": "partial", "2": "refused"}, "formats": list(D.FORMATS)}))
+        print(json.dumps({"name": "docmatch", "version": __version__, "input": "hash.v0", "output": "docmatch.v0", "exit_codes": {"0": "all matched", "1": "partial", "2": "refused"}, "formats": list(D.FORMATS)}))
         return EXIT_OK
     if a.schema:
-        some = dict(version=dict(const="fingerprint.v0"), path=dict(type="string"), fingerprint=dict(type=["object", "null"]), tool_versions=dict(type="object"))
+        some = dict(version=dict(const="docmatch.v0"), path=dict(type="string"), template=dict(type=["object", "null"]), tool_versions=dict(type="object"))
         print(json.dumps(dict(type="object", required=["version", "path"], properties=some)))
         return EXIT_OK
     known, trust = registry()
@@ -126,7 +126,7 @@ def _run(a: argparse.Namespace) -> int:
     if a.progress:
         print(json.dumps({"event": "progress", "records": len(rows)}), file=sys.stderr)
     if not a.no_witness:
-        ledger.append(ledger.default_path(), ledger.record([(a.input or "-", body)], {"fingerprints": a.fp, "diagnose": a.diagnose}, outcome, code, text.encode()))
+        ledger.append(ledger.default_path(), ledger.record([(a.input or "-", body)], {"templates": a.fp, "diagnose": a.diagnose}, outcome, code, text.encode()))
     return code
 
 

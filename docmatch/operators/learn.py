@@ -215,7 +215,7 @@ def from_documents(docs: DataFrame, format: str, template_id: str, min_confidenc
     if format == "html" and all(c.assertion.kind in ("filename_regex", "heading_exists") for c in kept):
         raise LearnError("the html corpus shows no stable structure: no page sections, table headers or full-width rows in common")
     extract = suggested(observed, format) if with_extract else []
-    return {"fingerprint_id": template_id, "format": format, "assertions": kept, "extract": extract, "hash_over": [e["name"] for e in extract]}
+    return {"template_id": template_id, "format": format, "assertions": kept, "extract": extract, "hash_over": [e["name"] for e in extract]}
 
 
 def suggested(observed: DataFrame, format: str) -> list[dict[str, Any]]:
@@ -246,7 +246,7 @@ def assertion_data(a: Assertion) -> dict:
 
 def emit_yaml(profile: dict) -> str:
     """The definition file, each learned assertion under a comment with its confidence."""
-    out = [f"fingerprint_id: {quote(profile['fingerprint_id'])}", f"format: {quote(profile['format'])}", "assertions:"]
+    out = [f"template_id: {quote(profile['template_id'])}", f"format: {quote(profile['format'])}", "assertions:"]
 
     def item(data: Any, indent: str) -> None:
         for i, line in enumerate(yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=10**9).rstrip().split("\n")):
@@ -314,4 +314,4 @@ def from_fields(spark: SparkSession, view: dict, format: str, fields: list[dict]
         extract.append({"name": name, "type": "text_match"} | ({"anchor": f"(?i){escape(heading)}"} if heading is not None else {}) | {"pattern": pattern, "within_chars": 400})
     if not assertions:
         raise LearnError("none of the fields was found in the document")
-    return {"fingerprint_id": template_id, "format": format, "assertions": assertions, "extract": extract, "hash_over": [e["name"] for e in extract]}, missing
+    return {"template_id": template_id, "format": format, "assertions": assertions, "extract": extract, "hash_over": [e["name"] for e in extract]}, missing

@@ -28,7 +28,7 @@ def default_path() -> str:
 def record(inputs: list[tuple[str, bytes]], params: dict, outcome: str, exit_code: int, output: bytes, ts: str | None = None) -> dict:
     """A record whose id is the hash of its other fields in their order."""
     r = {
-        "id": "", "tool": "fingerprint", "version": __version__, "binary_hash": "blake3:" + blake3_hex(__version__.encode()),
+        "id": "", "tool": "docmatch", "version": __version__, "binary_hash": "blake3:" + blake3_hex(__version__.encode()),
         "inputs": [{"path": p, "hash": "blake3:" + blake3_hex(b), "bytes": len(b)} for p, b in inputs], "params": params, "outcome": outcome, "exit_code": exit_code,
         "output_hash": "blake3:" + blake3_hex(output), "ts": ts or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
     }

@@ -10,8 +10,8 @@ from ..functions import scalars as S
 
 #: What the reports read of an output record.
 RECORD = (
-    "version string, path string, outcome string, _skipped boolean, refusal struct<code:string>, fingerprint struct<fingerprint_id:string,matched:boolean,reason:string,"
-    "assertions:array<struct<name:string,passed:boolean>>,child_routing:struct<status:string,selected_child_fingerprint_id:string,matched_child_count:int,evaluated_child_count:int>>"
+    "version string, path string, outcome string, _skipped boolean, refusal struct<code:string>, template struct<template_id:string,matched:boolean,reason:string,"
+    "assertions:array<struct<name:string,passed:boolean>>,child_routing:struct<status:string,selected_child_template_id:string,matched_child_count:int,evaluated_child_count:int>>"
 )
 
 
@@ -26,9 +26,9 @@ def with_inventory(records: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def status(records: DataFrame) -> DataFrame:
     refused, skipped = F.col("outcome").eqNullSafe("REFUSAL"), F.coalesce("_skipped", F.lit(False))
-    child = F.col("fingerprint.child_routing.status")
+    child = F.col("template.child_routing.status")
     s = (
-        F.when(refused, "refusal").when(skipped, "skipped").when(~F.coalesce("fingerprint.matched", F.lit(False)), "unmatched")
+        F.when(refused, "refusal").when(skipped, "skipped").when(~F.coalesce("template.matched", F.lit(False)), "unmatched")
         .when(child == "ambiguous", "ambiguous").when(child == "no_child_match", "unmatched").otherwise("matched")
     )
     return records.withColumn("status", s)
@@ -42,8 +42,8 @@ def family_summary(records: DataFrame) -> DataFrame:
 
 def matched_by_id(records: DataFrame) -> DataFrame:
     """Matched records per family and id of the selected child, or else the root."""
-    chosen = F.coalesce("fingerprint.child_routing.selected_child_fingerprint_id", "fingerprint.fingerprint_id")
-    return records.where("status = 'matched'").groupBy("family", chosen.alias("fingerprint_id")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = F.coalesce("template.child_routing.selected_child_template_id", "template.template_id")
+    return records.where("status = 'matched'").groupBy("family", chosen.alias("template_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_summary(records: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def consume(routes: DataFrame, legacy: DataFrame) -> DataFrame:
     j = routes.join(legacy.select("path", F.col("route").alias("legacy_route")), "path", "left")
     resolved = F.when(F.col("status") == "matched", F.col("route"))
     taken = F.coalesce(resolved, "legacy_route")
-    source = F.when(resolved.isNotNull(), "fingerprint").when(F.col("legacy_route").isNotNull(), "legacy").otherwise("unresolved")
+    source = F.when(resolved.isNotNull(), "template").when(F.col("legacy_route").isNotNull(), "legacy").otherwise("unresolved")
     diff = (
         F.when(resolved.isNull(), F.col("status")).when(F.col("legacy_route").isNull(), "no_legacy_route")
         .when(S.family(resolved) != S.family(F.col("legacy_route")), "route_changed")
@@ -82,12 +82,12 @@ def consume(routes: DataFrame, legacy: DataFrame) -> DataFrame:
 
 def consumer_summary(consumed: DataFrame) -> DataFrame:
     return consumed.agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.col("source") == "fingerprint").alias("from_fingerprint"), F.count_if(F.col("source") == "legacy").alias("from_legacy"),
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("source") == "template").alias("from_template"), F.count_if(F.col("source") == "legacy").alias("from_legacy"),
         F.count_if(F.col("source") == "unresolved").alias("unresolved"), F.count("diff").alias("diffs"),
     )
 
 
 def failure_histogram(records: DataFrame) -> DataFrame:
     """How often each assertion failed."""
-    a = records.select(F.explode("fingerprint.assertions").alias("a")).where("not a.passed")
+    a = records.select(F.explode("template.assertions").alias("a")).where("not a.passed")
     return a.groupBy(F.col("a.name").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")

@@ -107,6 +107,6 @@ def _none_of(globs: list[tuple[str, str]]) -> Callable[[Column], Column]:
 
 
 def output_lines(checked: DataFrame) -> DataFrame:
-    versions = F.struct(F.lit(__version__).alias("fingerprint"))
+    versions = F.struct(F.lit(__version__).alias("docmatch"))
     ordered = F.struct("version", "rule_id", "group_pattern", "matched_directory", "outcome", "present", "missing", "unexpected", versions.alias("tool_versions"))
     return checked.select(F.to_json(ordered).alias("value"))

@@ -140,12 +140,15 @@ def assertion_from(item: Any) -> Assertion:
 def definition_from(data: Any) -> Definition:
     if not isinstance(data, dict):
         raise DefinitionError("E_INVALID_YAML", "a definition must be a mapping")
+    named = [k for k in data if isinstance(k, str) and k.endswith("_id")]
+    if "template_id" not in data and len(named) == 1:  # files of other tools call it otherwise
+        data = {"template_id": data[named[0]]} | data
     extracts = []
     for e in data.get("extract") or []:
         extracts.append(Extract(_need(e, "name", "extract"), _need(e, "type", "extract"), {k: v for k, v in e.items() if k not in ("name", "type")}))
     hashed = data.get("content_hash")
     d = Definition(
-        _need(data, "fingerprint_id", "definition"), _need(data, "format", "definition"), [assertion_from(a) for a in _need(data, "assertions", "definition")],
+        _need(data, "template_id", "definition"), _need(data, "format", "definition"), [assertion_from(a) for a in _need(data, "assertions", "definition")],
         extracts, data.get("valid_from"), data.get("valid_until"), data.get("parent"),
         None if hashed is None else list(hashed.get("over") or []), None if hashed is None else _need(hashed, "algorithm", "content_hash"),
     )
@@ -229,7 +232,7 @@ def validate(d: Definition) -> list[str]:
     if d.format not in (*FORMATS, "md"):
         wrong.append(f"unsupported format '{d.format}'")
     if not d.template_id.strip():
-        wrong.append("fingerprint_id is empty")
+        wrong.append("template_id is empty")
     if not d.assertions:
         wrong.append("assertions are empty")
     for i, a in enumerate(d.assertions):
@@ -294,9 +297,9 @@ def json_schema() -> dict:
     strings = listed | dict(items=text)
     fields = {k: whole if k in ("index", "within_chars") else text for k in ("name", "type", "anchor_heading", "index", "anchor", "pattern", "within_chars", "sheet", "range")}
     hashed = _object(["algorithm", "over"], algorithm=dict(enum=["blake3"]), over=strings)
-    plain = dict.fromkeys(("fingerprint_id", "valid_from", "valid_until", "parent"), text)
+    plain = dict.fromkeys(("template_id", "valid_from", "valid_until", "parent"), text)
     lists = dict(assertions=listed | dict(items=dict(oneOf=options)), extract=listed | dict(items=_object(["name", "type"], **fields)))
-    whole_file = _object(["fingerprint_id", "format", "assertions"], format=dict(enum=list(FORMATS)), content_hash=hashed, **plain, **lists)
+    whole_file = _object(["template_id", "format", "assertions"], format=dict(enum=list(FORMATS)), content_hash=hashed, **plain, **lists)
     return {"$schema": "http://json-schema.org/draft-07/schema#"} | whole_file
 
 
@@ -323,17 +326,17 @@ class Registry:
         rows = self.listing()
         for a, b in zip(rows, rows[1:], strict=False):
             if a.template_id == b.template_id:
-                raise Refusal("E_DUPLICATE_FP_ID", f"'{a.template_id}' is defined more than once", {"fingerprint_id": a.template_id, "providers": [a.source, b.source]})
+                raise Refusal("E_DUPLICATE_FP_ID", f"'{a.template_id}' is defined more than once", {"template_id": a.template_id, "providers": [a.source, b.source]})
         for d in rows:
             if not trusted(d.source, trust):
-                raise Refusal("E_UNTRUSTED_FP", f"'{d.template_id}' comes from '{d.source}', which isn't allowed", {"fingerprint_id": d.template_id, "provider": d.source})
+                raise Refusal("E_UNTRUSTED_FP", f"'{d.template_id}' comes from '{d.source}', which isn't allowed", {"template_id": d.template_id, "provider": d.source})
 
     def select(self, ids: list[str]) -> list[Definition]:
         """The requested definitions in order; refuses unknown ids, then children whose
         parent isn't requested."""
         for i in ids:
             if self.get(i) is None:
-                raise Refusal("E_UNKNOWN_FP", f"'{i}' isn't known", {"fingerprint_id": i, "available": [d.template_id for d in self.listing()]})
+                raise Refusal("E_UNKNOWN_FP", f"'{i}' isn't known", {"template_id": i, "available": [d.template_id for d in self.listing()]})
         found = [self.get(i) for i in ids]
         for d in found:
             if d.parent is not None and d.parent not in ids:

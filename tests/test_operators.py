@@ -45,11 +45,11 @@ def test_regex_language():
 
 
 def test_automatic_names():
-    d = D.load_text("fingerprint_id: x\nformat: html\nassertions:\n- heading_regex: {pattern: '(?i)[Rr]ent  Roll\\d+ of a long name'}\n- heading_regex: {pattern: '(?i)[Rr]ent  Roll\\d+ of a long name'}\n- cell_eq: {sheet: My Sheet, cell: A1, value: v}\n- page_count: {min: 1}\n- {name: own, page_count: {}}\n")
+    d = D.load_text("template_id: x\nformat: html\nassertions:\n- heading_regex: {pattern: '(?i)[Rr]ent  Roll\\d+ of a long name'}\n- heading_regex: {pattern: '(?i)[Rr]ent  Roll\\d+ of a long name'}\n- cell_eq: {sheet: My Sheet, cell: A1, value: v}\n- page_count: {min: 1}\n- {name: own, page_count: {}}\n")
     assert [a.name for a in d.assertions] == ["heading_regex__rrent_rolld_of_a_lon", "heading_regex__rrent_rolld_of_a_lon__1", "cell_eq__My_Sheet__A1", "page_count", "own"]
 
 
-@pytest.mark.parametrize("text, code", [("fingerprint_id: x\nformat: csv\nassertions:\n- nope: {}\n", "E_UNKNOWN_ASSERTION"), ("format: csv\nassertions: []\n", "E_MISSING_FIELD"), ("a: [", "E_INVALID_YAML"), ("fingerprint_id: x\nformat: csv\nassertions:\n- cell_eq: {sheet: a}\n", "E_MISSING_FIELD")])
+@pytest.mark.parametrize("text, code", [("template_id: x\nformat: csv\nassertions:\n- nope: {}\n", "E_UNKNOWN_ASSERTION"), ("format: csv\nassertions: []\n", "E_MISSING_FIELD"), ("a: [", "E_INVALID_YAML"), ("template_id: x\nformat: csv\nassertions:\n- cell_eq: {sheet: a}\n", "E_MISSING_FIELD")])
 def test_compile_refusals(text, code):
     with pytest.raises(Refusal) as e:
         compiled.compile_text(text)
@@ -57,14 +57,14 @@ def test_compile_refusals(text, code):
 
 
 def test_validation_and_schema():
-    d = D.definition_from({"fingerprint_id": "x", "format": "csv", "assertions": [{"full_width_row": {"pattern": "(", "min_cells": 0}}, {"page_count": {"min": 3, "max": 1}}], "extract": [{"name": "a", "type": "range"}], "content_hash": {"algorithm": "md5", "over": ["b"]}})
+    d = D.definition_from({"template_id": "x", "format": "csv", "assertions": [{"full_width_row": {"pattern": "(", "min_cells": 0}}, {"page_count": {"min": 3, "max": 1}}], "extract": [{"name": "a", "type": "range"}], "content_hash": {"algorithm": "md5", "over": ["b"]}})
     wrong = " ".join(D.validate(d))
     assert all(x in wrong for x in ("requires format html", "invalid regex", "max is less than min", "requires 'sheet'", "unsupported hash", "unknown extract 'b'", "min_cells"))
     assert len(D.json_schema()["properties"]["assertions"]["items"]["oneOf"]) == 30
 
 
 def test_compiled_module_evaluates_alike(spark, tmp_path):
-    text = "fingerprint_id: a.v1\nformat: text\nassertions:\n- text_contains: mill\n"
+    text = "template_id: a.v1\nformat: text\nassertions:\n- text_contains: mill\n"
     (tmp_path / "a.fp.yaml").write_text(text)
     target = compiled.compile_file(str(tmp_path / "a.fp.yaml"), str(tmp_path / "out"))
     space: dict = {}
@@ -173,7 +173,7 @@ def test_stream(spark, tmp_path):
     q = stream.enrich(Engine(D.Registry()), stream.manifests(spark, str(tmp_path / "in")), ["csv.v0"], str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
     q.awaitTermination(120)
     got = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/*").collect()]
-    assert len(got) == 1 and got[0]["fingerprint"]["matched"]
+    assert len(got) == 1 and got[0]["template"]["matched"]
 
 
 def test_every_query_runs_and_oracles_name_queries(spark):
