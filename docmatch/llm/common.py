@@ -8,12 +8,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +56,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     retries after lost executors, start from the files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of results of ``table`` that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, _paths.pop(t))
 
 
 def n_partitions(spark: SparkSession) -> int:

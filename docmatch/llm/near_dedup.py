@@ -11,8 +11,11 @@ So a set enters only the lists of its ``size - needed + 1`` rarest values: any t
 share ``needed`` values meet in one of them (prefix filtering). Values of a passage that
 many documents share are frequent and drop out, unless they are most of the document.
 
-Each list then links its members to its smallest id alone; only pairs of one list whose
-members are still in different components are looked at beyond that.
+Each list then links its members to its smallest id alone. What is still in different
+components is looked at further: short lists give their pairs (at most ``HOT`` for each
+entry). Members of longer lists are put into groups (what such lists connect), a group is
+cut into blocks of about ``BLOCK`` shingles, and a task compares the full sets of two
+blocks; it returns only the edges of a forest. So no pairs are written for a hot list.
 """
 
 from __future__ import annotations
@@ -29,6 +32,11 @@ from . import common, vec
 K = 64
 NEEDED = 35
 PERCENT = 85
+#: A list of more members than this gives no pairs; its members are compared in blocks.
+HOT = 16
+#: Shingles in a block of a group, and documents that are compared at once in a task.
+BLOCK = 1 << 20
+TILE = 1024
 FILTER_BITS = 1 << 26
 
 
@@ -175,7 +183,7 @@ def _small_components(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def components(edges: DataFrame, rounds: int = 60, on_driver: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, on_driver: int = 500_000) -> DataFrame:
     """``id, root``: the smallest id of each node's component, by alternating large-star
     and small-star steps; lineage is cut by a table each round. Up to ``on_driver``
     edges (16 bytes each, counted first) are settled on the driver instead."""
@@ -183,10 +191,11 @@ def components(edges: DataFrame, rounds: int = 60, on_driver: int = 500_000) ->
     n = e.count()
     if n <= on_driver:
         t = e.toArrow()
+        common.drop(e)
         nodes, root = _small_components(np.stack([t["u"].to_numpy(), t["v"].to_numpy()], 1)) if n else (np.zeros(0, np.int64),) * 2
         return e.sparkSession.createDataFrame(pa.table({"id": nodes.astype(np.int64), "root": root.astype(np.int64)}))
     before = None
-    for _ in range(rounds):
+    while True:  # both steps only lower the nodes' neighbours, so it comes to rest
         # large star: every larger neighbour of a node is linked to its smallest neighbour
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -194,7 +203,8 @@ def components(edges: DataFrame, rounds: int = 60, on_driver: int = 500_000) ->
         # small star: a node and its smaller neighbours are linked to the smallest
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(m, "u")
-        e = common.table(j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        e, old = common.table(j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges"), e
+        common.drop(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -206,16 +216,116 @@ def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, src: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets are similar enough."""
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """The sizes of the intersections of each of the sets x with each of the sets y (or
+    of x; then those of a set with itself stay 0 for values of no other)."""
+    both, m = [*x, *(y or [])], len(x)
+    sizes = np.array([len(s) for s in both])
+    values, doc = np.concatenate(both), np.repeat(np.arange(len(both)), sizes)
+    order = np.argsort(values)
+    values, doc = values[order], doc[order]
+    starts = common.group_starts(values)
+    count = np.diff(np.append(starts, len(values)))
+    lo, width = (m, len(both) - m) if y is not None else (0, m)
+    out = np.zeros((m, width), np.float32)
+    # a value of few sets adds one to each of its pairs; the others are columns of a matrix
+    flat = []
+    for c in range(2, 9):
+        rows = doc[starts[count == c][:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(c):
+                if i != j:
+                    across = (rows[:, i] < m) & (rows[:, j] >= lo)
+                    flat.append(rows[across, i] * width + rows[across, j] - lo)
+    if flat:
+        out += np.bincount(np.concatenate(flat), minlength=out.size).reshape(out.shape).astype(np.float32)
+    often = np.flatnonzero(count > 8)
+    for k in range(0, len(often), 4096):
+        at = often[k : k + 4096]
+        n = count[at]
+        part = np.zeros((len(both), len(at)), np.float32)
+        part[doc[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(at)), n)] = 1
+        out += part[:m] @ part[lo:].T
+    return out
+
+
+def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Edges (larger id, smaller id) of a forest whose trees are the components of the
+    similar pairs among the sets."""
+    edges = [np.zeros((0, 2), np.int64)]
+    size = np.array([len(s) for s in sets], np.float64)
+    order = np.argsort(size, kind="stable")
+    tiles = [order[i : i + TILE] for i in range(0, len(order), TILE)]
+    for k, p in enumerate(tiles):
+        for q in tiles[k:]:
+            if 100 * size[p[-1]] < percent * size[q[0]]:
+                break
+            both = overlaps([sets[i] for i in p], None if p is q else [sets[i] for i in q])
+            ok = (100 * both >= percent * (size[p][:, None] + size[q][None] - both)) & (both > 0)
+            i, j = np.nonzero(ok)
+            found = np.stack([ids[p[i]], ids[q[j]]], 1)
+            edges.append(found[found[:, 0] != found[:, 1]])
+    pairs = np.concatenate(edges)
+    if not len(pairs):
+        return pairs
+    nodes, root = _small_components(pairs)
+    return np.stack([nodes, root], 1)[nodes != root]
+
+
+def _block_batches(percent: int) -> Callable:
+    def run(t: pa.Table) -> pa.Table:
+        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)
+        body = t["body"].combine_chunks()
+        found = block_links(ids, [np.frombuffer(body[i].as_buffer(), vec.U64) for i in first], percent)
+        if t.nbytes > 1 << 22:
+            del body, t
+            common.release_memory()
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+def hot_members(hot: DataFrame, percent: int) -> DataFrame:
+    """hot: v, doc_id, n. The groups that hot lists connect, in cells: sets of a ratio of
+    sizes of percent / 100 or more meet in one cell."""
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) + 1e-9))
+    first = hot.groupBy("v").agg(F.min("doc_id").alias("b"))
+    group = components(hot.join(first, "v").select(F.col("doc_id").alias("a"), "b"))
+    member = hot.select("doc_id", "n").distinct().join(group, F.col("doc_id") == F.col("id"), "left")
+    return common.table(member.select("doc_id", "n", F.coalesce("root", "doc_id").alias("g"), F.explode(F.array(band, band - 1)).alias("cell")), "members")
+
+
+def hot_links(member: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links within the groups: each pair of blocks of a cell is compared in one task."""
+    blocks = member.groupBy("g", "cell").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    placed = member.join(blocks, ["g", "cell"]).select("doc_id", "n", "g", "cell", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("doc_id", "n", "g", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    joined = placed.join(sets, (F.col("doc_id") == F.col("s_id")) & (F.octet_length("body") == 8 * F.col("n"))).select("g", "cell", "i", "j", "doc_id", "body")
+    return common.table(joined.groupBy("g", "cell", "i", "j").applyInArrow(_block_batches(percent), "a long, b long"), "links")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches' union estimates a similarity near enough."""
     x = sketches.select(F.col("doc_id").alias("xa"), F.col("sketch").alias("sa"))
     y = sketches.select(F.col("doc_id").alias("yb"), F.col("sketch").alias("sb"))
     with_sketches = pairs.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("yb")).select("a", "b", "sa", "sb")
-    likely = common.table(with_sketches.mapInArrow(_estimate_batches(k, percent / 100 - 0.3), "a long, b long"), "pairs")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = common.table(src.mapInArrow(_set_batches(id_filter(ids, "id")), "s_id long, body binary"), "sets")
+    return common.table(with_sketches.mapInArrow(_estimate_batches(k, percent / 100 - 0.3), "a long, b long"), "pairs")
+
+
+def full_sets(ids: DataFrame, src: DataFrame) -> DataFrame:
+    """``s_id, body`` of the documents that ``id`` names; others may be among them."""
+    return common.table(src.mapInArrow(_set_batches(id_filter(ids, "id")), "s_id long, body binary"), "sets")
+
+
+def both_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sets are similar enough."""
     t = sets.select(F.col("s_id").alias("t_id"), F.col("body").alias("t_body"))
-    j = likely.join(sets, F.col("a") == F.col("s_id")).join(t, F.col("b") == F.col("t_id")).select("a", "b", "body", "t_body")
+    j = pairs.join(sets, F.col("a") == F.col("s_id")).join(t, F.col("b") == F.col("t_id")).select("a", "b", "body", "t_body")
     return common.table(j.mapInArrow(_verify_batches(percent), "a long, b long"), "links")
 
 
@@ -248,17 +358,32 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, k: int = K, needed: int
     # first links: each member to the smallest id of its list
     hub = lists.groupBy("v").agg(F.min_by(F.struct("doc_id", "n"), F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"))
     stars = lists.join(hub, "v").where(F.col("doc_id") != F.col("a")).where(_sizes_fit("n", "na", percent)).select("a", F.col("doc_id").alias("b")).distinct()
-    links = verified(common.table(stars, "stars"), sketches, src, k, percent)
+    stars = common.table(stars, "stars")
+    pairs = likely(stars, sketches, k, percent)
+    sets = full_sets(both_ids(pairs), src)
+    links = verified(pairs, sets, percent)
+    common.drop(pairs, sets)
     roots = components(links)
     # further pairs of a list only across components
     rooted = lists.join(roots, lists["doc_id"] == roots["id"], "left").select("v", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    split = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
-    open_ = common.table(rooted.join(split, "v").select("v", F.struct("doc_id", "n", "root").alias("m")), "open")
-    p, q = open_.select("v", F.col("m").alias("p")), open_.select("v", F.col("m").alias("q"))
+    split = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("v", "c")
+    open_ = common.table(rooted.join(split, "v").select("v", F.struct("doc_id", "n", "root").alias("m"), "c"), "open")
+    common.drop(lists)
+    cold = open_.where(F.col("c") <= HOT)
+    p, q = cold.select("v", F.col("m").alias("p")), cold.select("v", F.col("m").alias("q"))
     cross = p.join(q, "v").where((F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.root") != F.col("q.root"))).where(_sizes_fit("p.n", "q.n", percent))
-    more = cross.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    further = verified(common.table(more, "cross"), sketches, src, k, percent)
-    final = components(equal.unionAll(links).unionAll(further))
+    more = common.table(cross.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "cross")
+    common.drop(stars)
+    pairs = likely(more, sketches, k, percent)
+    common.drop(more, sketches)
+    member = hot_members(open_.where(F.col("c") > HOT).select("v", "m.doc_id", "m.n"), percent)
+    common.drop(open_)
+    sets = full_sets(both_ids(pairs).unionAll(member.select("doc_id")), src)
+    further = verified(pairs, sets, percent)
+    within = hot_links(member, sets, percent)
+    common.drop(pairs, member, sets)
+    final = components(equal.unionAll(links).unionAll(further).unionAll(within))
+    common.drop(equal, links, further, within)
     out = rows.select("doc_id", "n").join(final, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
