@@ -3,10 +3,12 @@
 Two bag-of-hashed-n-grams models (words, word pairs and byte triples in 2 ** bits
 buckets; all pairs of a word with itself share one) are estimated: one of the target text
 (labelled good documents of a bounded sample), one of the raw text (all documents). A
-document's log importance weight is the sum over its n-grams of log target / raw; since
-that grows with length, documents compete by its mean per n-gram. Gumbel top-k draws k
-of them without replacement; k is the number of documents whose mean reaches the cutoff
-that best separates held-out good from bad labels.
+document's log importance weight is the sum over its n-grams of log target / raw. Sums
+grow with length, so the draw is stratified: documents compete in bands of n-gram counts
+(powers of two). In each band Gumbel top-k at temperature 1 draws k documents without
+replacement in proportion to their weights. k is the band's size times the share of
+target documents among held-out labels; what those miss of a count over all documents of
+the band (mean log weights above a cutoff) corrects it, which only lowers the variance.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ BITS = 16
 #: Labelled documents used at most (by smallest hash of the id): half fit the target
 #: model, half set k. The bound keeps the id list that is broadcast under 1 MB.
 MAX_LABELLED = 40_000
-
+MIN_HELD = 30
 
 #: The bucket of pairs of equal words.
 REPEAT = 0
@@ -108,35 +111,54 @@ def gumbel(doc_id: str, seed: int) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(df: DataFrame, key: str, k: int) -> tuple[int, int]:
-    """For a long column: the k-th largest value, and how many rows of that value
-    belong to the top k. Radix selection: each of four rounds sends at most 65,536
-    counts to the driver, whatever the number of rows."""
-    prefix, need, low = 0, k, None
-    for step in range(4):
-        shift = 48 - 16 * step
-        digit = F.shiftrightunsigned(F.col(key), shift).bitwiseAND(F.lit(0xFFFF))
-        part = df if step == 0 else df.where(F.shiftrightunsigned(F.col(key), shift + 16) == F.lit(prefix))
-        found = sorted(((r[0], r[1]) for r in part.groupBy(digit.alias("d")).count().collect()), reverse=True)
-        for d, n in found:
-            if n >= need:
-                prefix, low = (prefix << 16) | int(d), d
-                break
-            need -= n
-    assert low is not None
-    return (prefix if prefix < 1 << 63 else prefix - (1 << 64)), need
-
-
-def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.005, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_features, log_weight, score, gumbel_key, kept``;
-    score is the mean log weight of an n-gram. with_digest: also ``text_sha256``, which
-    tells rows of one id (or none) apart.
-
-    k: documents to draw; None: as many as reach the best cutoff on held-out labels.
-    temperature scales the noise (0: the plain top k by score). A null or empty text
-    has score 0. Rows with equal keys (copies of one id) stay or go together, so k may
-    be exceeded by them. Without labels of both kinds nothing is rejected. Labels with a null id or
-    quality aren't used; a toxic label never counts as target.
+#: Bits of a rank key that one round of the selection settles, and rounds.
+DIGIT, ROUNDS = 12, 4
+
+
+def kth_largest(df: DataFrame, group: str, key: str, ks: dict[int, int]) -> dict[int, int]:
+    """Per group (under 64 of them) the ks-th largest value of a long column in
+    [0, 2 ** 48). Radix selection: each of the rounds sends at most 4,096 counts of a
+    group to the driver, whatever the number of rows."""
+    found, need = dict.fromkeys(ks, 0), dict(ks)
+    if not ks:
+        return found
+    for step in range(ROUNDS):
+        shift = DIGIT * (ROUNDS - 1 - step)
+        prefix = F.create_map(*[F.lit(x).cast("long") for g in found.items() for x in g])
+        part = df.where(F.shiftright(F.col(key), shift + DIGIT) == F.element_at(prefix, F.col(group)))
+        digits: dict[int, list[tuple[int, int]]] = {}
+        for g, d, n in part.groupBy(group, F.shiftright(F.col(key), shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("d")).count().collect():
+            digits.setdefault(g, []).append((int(d), n))
+        for g, counts in digits.items():
+            for d, n in sorted(counts, reverse=True):
+                if n >= need[g]:
+                    found[g] = found[g] << DIGIT | d
+                    break
+                need[g] -= n
+    return found
+
+
+def shares(k: int, sizes: dict[int, int]) -> dict[int, int]:
+    """k split over the bands in proportion to their sizes; the parts sum to k."""
+    out, seen, given, total = {}, 0, 0, sum(sizes.values())
+    for b, n in sorted(sizes.items()):
+        seen += n
+        out[b] = k * seen // total - given
+        given += out[b]
+    return out
+
+
+def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 7, bits: int = BITS, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_features, log_weight, score, band, gumbel_key,
+    kept``; score is the mean log weight of an n-gram. with_digest: also ``text_sha256``,
+    which tells rows of one id (or none) apart.
+
+    k: documents to draw, split over the bands by their sizes; None: the estimated number
+    of target documents of each band. temperature scales the noise (0: the plain top k
+    by weight). A null or empty text has weight 0. Rows whose keys agree to 2 ** -16
+    (copies of one id) stay or go together, so k may be exceeded by them. Without labels
+    of both kinds nothing is rejected. Labels with a null id or quality aren't used; a
+    toxic label never counts as target of the model.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -162,25 +184,36 @@ def quality_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, t
     keyed = src.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)) if with_digest else src
     scored = keyed.mapInArrow(_score_batches(ratio, bits, also), "doc_id long, n_features long, log_weight double" + "".join(f", {c} string" for c in also))
     noise = gumbel("doc_id", seed) if temperature else F.lit(0.0)
-    scored = scored.withColumn("score", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
-    scored = common.table(scored.withColumn("gumbel_key", F.col("score") + F.lit(float(temperature)) * noise), "scores")
-    if k is None:
-        held = scored.join(F.broadcast(sample.where("not fit")), "doc_id").select("score", "good").toPandas()
-        cutoff = best_cutoff(held["score"].to_numpy(), held["good"].to_numpy().astype(bool)) if len(held) else None
-        k = None if cutoff is None else scored.where(F.col("score") >= F.lit(cutoff)).count()
-    n = scored.count()
-    if k is None or k >= n:
+    scored = scored.withColumn("score", F.col("log_weight") / F.greatest("n_features", F.lit(1))).withColumn("band", F.floor(F.log2(F.col("n_features") + 1)))
+    scored = common.table(scored.withColumn("gumbel_key", F.col("log_weight") + F.lit(float(temperature)) * noise), "scores")
+    held = scored.join(F.broadcast(sample.where("not fit")), "doc_id").select("band", "score", "good").toPandas()  # at most max_labelled ids
+    cutoff = best_cutoff(held["score"].to_numpy(), held["good"].to_numpy().astype(bool)) if len(held) else None
+    if k is None and cutoff is None:
+        return scored.withColumn("kept", F.lit(True))
+    above = F.sum((F.col("score") >= F.lit(float(cutoff if cutoff is not None else 0.0))).cast("long"))
+    bands = {r[0]: (r[1], r[2]) for r in scored.groupBy("band").agg(F.count(F.lit(1)), above).collect()}  # under 64 rows
+    sizes = {b: n for b, (n, _) in bands.items()}
+    draw = target_counts(bands, held, cutoff) if k is None else shares(min(k, sum(sizes.values())), sizes)
+    # fixed-point keys, so that their order is that of unsigned digits
+    key = F.greatest(F.lit(0.0), F.least(F.lit(float(2**48 - 1)), F.round(F.col("gumbel_key") * F.lit(65536.0)) + F.lit(float(1 << 47)))).cast("long")
+    ranked = scored.withColumn("rank_key", key)
+    cuts = kth_largest(ranked, "band", "rank_key", {b: x for b, x in draw.items() if 0 < x < sizes[b]})
+    least = {b: cuts.get(b, 0 if x else 1 << 48) for b, x in draw.items()}
+    if not least:
         return scored.withColumn("kept", F.lit(True))
-    if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
-    # doubles ordered as unsigned longs: flip all bits of negatives, the sign of others
-    ranked = scored.withColumn("rank_key", _ordered("gumbel_key"))
-    at, _ = kth_largest(ranked, "rank_key", k)
-    flipped = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  unsigned order as signed
-    cut = at ^ -(1 << 63)
-    return ranked.withColumn("kept", flipped(F.col("rank_key")) >= F.lit(cut)).drop("rank_key")
-
-
-def _ordered(column: str) -> F.Column:
-    """A long whose order as unsigned is that of the double, in steps of 2 ** -24."""
-    return F.round(F.col(column) * F.lit(float(1 << 24))).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    limit = F.create_map(*[F.lit(x).cast("long") for b in least.items() for x in b])
+    return ranked.withColumn("kept", F.col("rank_key") >= F.element_at(limit, F.col("band"))).drop("rank_key")
+
+
+def target_counts(bands: dict[int, tuple[int, int]], held: pd.DataFrame, cutoff: float) -> dict[int, int]:
+    """bands: documents, and those whose score reaches the cutoff. The estimated number
+    of target documents in each band: the second count, plus the band's size times the
+    mean of (good - reaches the cutoff) over its held-out labels. Where a band has under
+    ``MIN_HELD`` labels that mean is taken over all bands."""
+    miss = held["good"].astype(float) - (held["score"] >= cutoff)
+    by_band = miss.groupby(held["band"]).agg(["mean", "size"])
+    out = {}
+    for b, (n, above) in bands.items():
+        own = b in by_band.index and by_band.loc[b, "size"] >= MIN_HELD
+        out[b] = int(min(n, max(0, round(above + n * (by_band.loc[b, "mean"] if own else miss.mean())))))
+    return out
