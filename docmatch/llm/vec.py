@@ -7,6 +7,7 @@ time, so no Python code runs per word. A word is a maximal run of bytes outside
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
+#: Words of more bytes are hashed by BLAKE2.
+MAX_POLY = 200
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -96,6 +99,10 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.prefix = prefix_hash(LOWER[data] if lower else data)
         self.hash = self.range_hash(self.start, self.end)
+        # powers modulo 2 ** 64 let some long texts of two signs collide whatever the base
+        for i in np.flatnonzero(self.end - self.start > MAX_POLY).tolist():
+            word = data[self.start[i] : self.end[i]]
+            self.hash[i] = int.from_bytes(hashlib.blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         inverse = _power_tables(len(self.data) + 1)[1]
