@@ -68,20 +68,21 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.model, self.symbols = self.tokenizer.model, _byte_symbols()
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.marks = {m: self._whole(m) for m in ".,;:!?"}
 
     def _piece(self, w: str) -> bytes | None:
         """Ids of Latin letters with one mark at most; None for other pieces."""
         stem, mark = (w, b"") if w.isalpha() else (w[:-1], self.marks.get(w[-1]))
-        if mark is None or not stem.isalpha() or max(stem) >= "\u0130" or not unicodedata.is_normalized("NFC", stem):
+        if mark is None or not stem.isalpha() or not stem.isascii() and (max(stem) >= "\u0130" or not unicodedata.is_normalized("NFC", stem)):
             return None
         stem = stem.lower()
         found = self.stems.get(stem)
         if found is None:
-            tokens = self.model.tokenize(stem.encode().decode("latin-1").translate(self.symbols))
+            tokens = self.model.tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.symbols))
             if len(self.stems) >= MAX_WORDS:
                 self.stems.clear()
-            found = self.stems[stem] = np.array([t.id for t in tokens], "<u4").tobytes()
+            found = self.stems[stem] = b"".join([self.codes[t.id] for t in tokens])
         return found + mark
 
     def _whole(self, text: str) -> bytes:
@@ -119,77 +120,105 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that occur at least ``least`` times among the given ones, by exact
-    counts: the pairs, the most frequent first, the rank of the pair at each place or -1,
-    and where a pair was seen to occur less than ``MIN_USES`` times."""
-    # a bin counts all pairs that share it, so no frequent pair is in a bin below least
-    slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
-    bins = np.bincount(slot, minlength=1 << BIN_BITS)
-    many = bins[slot]
-    rare = many < MIN_USES
-    some = np.flatnonzero(many >= least)
-    order = some[np.argsort(key[some])]
-    sorted_ = key[order]
-    starts = common.group_starts(sorted_)
-    count = np.diff(np.append(starts, len(sorted_)))
-    rare[order] = np.repeat(count < MIN_USES, count)
-    hot = np.flatnonzero(count >= least)
-    hot = hot[np.argsort(-count[hot], kind="stable")]
-    number = np.full(len(count), -1, np.int64)
-    number[hot] = np.arange(len(hot))
-    rank = np.full(len(key), -1, np.int64)
-    rank[order] = np.repeat(number, count)
-    return sorted_[starts[hot]], rank, rare
+class _Pairs:
+    """Numbers for pairs of symbols, with exact counts of their places. 0 stands for all
+    pairs of fewer than ``MIN_USES`` places: a pair of given symbols only gets rarer."""
+
+    def __init__(self):
+        self.key, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, key: np.ndarray) -> np.ndarray:
+        """The numbers of new pairs' places."""
+        out = np.zeros(len(key), np.int32)
+        # a bin counts all pairs that share it, so pairs in bins below MIN_USES are rare
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+        some = np.flatnonzero(np.bincount(slot, minlength=1 << BIN_BITS)[slot] >= MIN_USES) if len(key) > 1 << 16 else np.arange(len(key))
+        kept = key[some]
+        order = np.argsort(kept)
+        kept = kept[order]
+        starts = common.group_starts(kept)
+        count = np.diff(np.append(starts, len(kept)))
+        often = count >= MIN_USES
+        number = np.where(often, np.cumsum(often) + len(self.key) - 1, 0).astype(np.int32)
+        out[some[order]] = np.repeat(number, count)
+        self.key, self.count = np.concatenate((self.key, kept[starts[often]])), np.concatenate((self.count, count[often]))
+        return out
+
+    def less(self, numbers: np.ndarray) -> None:
+        """Places that are gone."""
+        if len(numbers) < 1 << 14:
+            np.subtract.at(self.count, numbers, 1)
+        else:
+            self.count -= np.bincount(numbers, minlength=len(self.count))
+        self.count[0] = 0
+
+
+def _places(pair: np.ndarray, s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs of a rank stand, and the ranks. Of overlapping places of one pair
+    (runs of a symbol) every other one counts."""
+    at = np.flatnonzero(rank[pair] >= 0)
+    r = rank[pair[at]]
+    again = np.flatnonzero((np.diff(at) == 1) & (r[1:] == r[:-1])) + 1
+    if len(again):
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(again) > 1)))
+        counted = np.ones(len(at), bool)
+        counted[again[(again - again[starts][common.spread(starts, len(again))]) % 2 == 0]] = False
+        at, r = at[counted], r[counted]
+    return at, r
 
 
 def re_pair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """ids, and whether each is the last of its document. The remaining symbols, their
     last flags, and the rules of each round; nonterminals count up from base. A round
     takes the pairs down to a part of the highest count together; where two of them
-    overlap the more frequent one has the place. It ends when no pair has ``MIN_USES``
+    overlap the more frequent one has the place. That part falls each round. It ends when no pair has ``MIN_USES``
     places that don't overlap."""
-    s, rules, top, least = ids.astype(np.int64), [], base, max(MIN_USES, len(ids) // FALL)
-    # a pair of older symbols only gets rarer: where it is too rare it isn't counted again
-    open_ = ~last
-    open_[-1:] = False
-    while True:
-        places = np.flatnonzero(open_)
-        key = s[places] << 32 | s[places + 1]
-        # of overlapping places of one pair (runs of a symbol) every other one counts
-        again = np.flatnonzero((np.diff(places) == 1) & (key[1:] == key[:-1])) + 1
-        if len(again):
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(again) > 1)))
-            counted = np.ones(len(places), bool)
-            counted[again[(again - again[starts][common.spread(starts, len(again))]) % 2 == 0]] = False
-            places, key = places[counted], key[counted]
-        pairs, rank, rare = _frequent(key, least)
-        if not len(pairs) and least == MIN_USES:
-            break
-        least = max(MIN_USES, least // FALL)
-        open_[places[rare]] = False
-        if not len(pairs):
-            continue
-        at, rank = places[rank >= 0], rank[rank >= 0]
+    s, rules, top, known = ids.astype(np.int64 if base + len(ids) >= 1 << 31 else np.int32), [], base, _Pairs()
+    pair = np.zeros(len(s), np.int32)  # of each place and the next one
+
+    def number(at: np.ndarray) -> None:
+        at = at[~last[at]]
+        pair[at] = known.add(s[at].astype(np.int64) << 32 | s[at + 1])
+
+    last = last.copy()
+    last[-1:] = True
+    number(np.arange(len(s)))
+    least = len(s)
+    while (most := int(known.count.max())) >= MIN_USES:
+        least = max(MIN_USES, min(least, most) // FALL)
+        hot = np.flatnonzero(known.count >= least)
+        hot = hot[np.argsort(-known.count[hot], kind="stable")]
+        rank = np.full(len(known.count), -1, np.int32)
+        rank[hot] = np.arange(len(hot))
+        at, r = _places(pair, s, rank)
+        known.count[hot[np.bincount(r, minlength=len(hot)) < MIN_USES]] = 0  # their places overlap
         near = np.diff(at) == 1
         wins = np.ones(len(at), bool)
-        wins[1:] &= ~near | (rank[1:] < rank[:-1])
-        wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+        wins[1:] &= ~near | (r[1:] < r[:-1])
+        wins[:-1] &= ~near | (r[:-1] < r[1:])
         # a pair that lost too many places isn't worth a rule; it may come again
-        made = np.bincount(rank[wins], minlength=len(pairs)) >= MIN_USES
-        wins &= made[rank]
-        at, which = at[wins], (np.cumsum(made) - 1)[rank[wins]]
-        pair = pairs[made]
-        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
+        made = np.bincount(r[wins], minlength=len(hot)) >= MIN_USES
+        if not made.any():
+            continue  # the first pair loses no place, so its count was set to 0
+        wins &= made[r]
+        at, which = at[wins], (np.cumsum(made) - 1)[r[wins]]
+        key = known.key[hot[made]]
+        rules.append(np.stack([key >> 32, key & 0xFFFFFFFF], 1))
+        touched = np.zeros(len(s) + 1, bool)
+        touched[at - 1] = touched[at] = touched[at + 1] = True  # at - 1 of the first may be the spare one
+        touched = np.flatnonzero(touched[:-1])
+        known.less(pair[touched])
+        pair[touched] = 0
         s[at] = top + which
         last[at] = last[at + 1]
-        before = at[at > 0] - 1
-        open_[before] = ~last[before]
-        open_[at] = ~last[at] & (at + 2 < len(s))
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s, last, open_ = s[keep], last[keep], open_[keep]
-        top += len(pair)
+        s, last, pair = s[keep], last[keep], pair[keep]
+        at = at - np.arange(len(at))  # each removed one symbol before those that follow
+        fresh = np.zeros(len(s) + 1, bool)
+        fresh[at] = fresh[at - 1] = True
+        number(np.flatnonzero(fresh[:-1]))
+        top += len(key)
     return s, last, rules
 
 
