@@ -44,8 +44,8 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 #: (licence, known text); several texts of one licence are fine.
 KNOWN: list[tuple[str, str]] = [
-    ("MIT", MIT), ("MIT", MIT.split("\n", 1)[1]), ("ISC", ISC), ("ISC", ISC.split("\n", 1)[1]), ("0BSD", ZERO_BSD),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), ("Zlib", ZLIB), ("Apache-2.0", APACHE_NOTICE),
+    ("MIT", MIT), ("MIT", "The " + MIT), ("MIT", "The MIT License (MIT)\n" + MIT.split("\n", 1)[1]), ("MIT", MIT.split("\n", 1)[1]), ("ISC", ISC), ("ISC", "The " + ISC), ("ISC", ISC.split("\n", 1)[1]), ("0BSD", ZERO_BSD),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), ("Zlib", ZLIB), ("Apache-2.0", APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
@@ -58,7 +58,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (pattern, replacement) in order, on lower-cased text; understood alike by Java, RE2 and
 #: Python. Lines that state a copyright go first, then spellings, then punctuation.
 STEPS = [
-    (r"(^|\n)[ \t]*(copyright[ \t]+(\(c\)|©|[0-9]|year|by)|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    (r"(^|\n)[ \t#*/;!%-]*(portions[ \t]+)?(copyright[ \t]*:?[ \t]*(\(c\)|©|[0-9]|year|by|[<\[{])|copyright[ \t][^\n]*[0-9][0-9][0-9][0-9]|\(c\)|©|all rights reserved)[^\n]*", "\n"),
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("https://", "http://"), ("copyright owner", "copyright holder"), ("acknowledgement", "acknowledgment"),
     ("judgement", "judgment"), ("favour", "favor"), ("colour", "color"), ("organisation", "organization"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("non-commercial", "noncommercial"),
     ("non-infringement", "noninfringement"), ("per cent", "percent"), ("programme", "program"), ("wilful", "willful"), ("fulfill", "fulfil"),

@@ -5,8 +5,8 @@ canonical form differs (lines that state a copyright go, so line breaks matter).
 
 #: (licence, digest)
 FULL_TEXTS = [
-    ("Apache-2.0", "0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1"),  # whole, as wrapped
-    ("Apache-2.0", "020bb6034c74005fcbcdddb55a837907403eb8f107e058836cb40262f547ed4a"),  # whole, paragraphs as lines
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),  # whole, as wrapped
+    ("Apache-2.0", "bb531182159142b308d308fe34391e6848d93f2a2ed991087b686ec75f9dbb1d"),  # whole, paragraphs as lines
     ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"),  # whole, one line
     ("Apache-2.0", "9446b99128ec9c3946adbb681853599f3a5f01a69d6c0762a9d0ab699868d801"),  # to the end mark, as wrapped
     ("Apache-2.0", "c348fad4100086120c9a4f71602579f6f49d5ca97ae96d36cf377b10e6e79871"),  # to the end mark, paragraphs as lines

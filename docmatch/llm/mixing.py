@@ -55,6 +55,8 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, cap
     spark = docs.sparkSession
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0))), F.lit(0))
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.greatest(size, F.lit(0)).cast("long").alias("size"))
+    # texts are read once; the range partitions are cut from a table of sizes
+    sized = common.table(sized, "words")
     # a range partition holds one stretch of the order, so a hot source spans many
     ranged = sized.repartitionByRange(common.n_partitions(spark), F.col("source").asc_nulls_last(), "size", "doc_id")
     runs = common.table(ranged.withColumn("run", F.spark_partition_id()), "sizes")

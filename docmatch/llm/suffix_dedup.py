@@ -8,7 +8,7 @@ windows have their minimizer at the same place, so no match is lost.
 
 1. Grams: each part of the documents sends its anchors' hashes to buckets; anchors whose
    gram is in one document only are settled there and never move again.
-2. Suffixes: the others carry the fingerprint of their context, all the bytes of the
+2. Suffixes: the others carry the digest of their context, all the bytes of the
    windows that they stand for. A bucket takes them in batches of ascending ids: each
    batch is sorted (its suffix array), merge-scanned against the levels that exist, and
    becomes a level itself; levels of equal size merge. A hit covers all those windows.

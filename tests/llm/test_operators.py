@@ -149,6 +149,17 @@ def test_risk_control(spark):
         p = quality_rules.upper_bound(k, n, 0.01)
         assert abs(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) - 0.01) < 1e-6
     assert quality_rules.upper_bound(5, 5, 0.05) == 1.0 and quality_rules.upper_bound(0, 0, 0.05) == 1.0
+    # different lines of equal hashes (Thue-Morse) aren't repeats
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    lines = tm.replace("b", " ") + "\n" + tm.translate(str.maketrans("ab", "ba")).replace("b", " ") + "\n" + tm + " " + tm
+    data = np.frombuffer((lines + "\n" + lines).encode(), np.uint8)
+    counts = quality_rules._counts(data, np.array([0, len(lines), len(data)]))
+    assert counts["n_dup_lines"].tolist() == [0, 0] and [counts["n_words"][0], counts["n_repeat_words"][0]] == [brute_base(lines)[0], brute_base(lines)[4]]
+    # the tests stop at the first step beyond the risk
+    x = np.zeros((400, len(quality_rules.NAMES)))
+    x[:30, 0], x[30:200, 2] = 5.0, 0.5
+    assert quality_rules.tested([(0, 8), (0, 3), (2, 4), (0, 0)], x, 0.1, 0.01) == {}
+    assert quality_rules.tested([(0, 8), (0, 3), (2, 4), (0, 0)], x, 0.15, 0.01) == {"symbol_rate": 0.2}
     # enough good documents: junk of many symbols goes, good ones of the holdout stay
     rows = [(i, words(i, 80), "en") for i in range(3000)] + [(i, words(i, 80).replace(" ", "%%% "), "en") for i in range(3000, 3050)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -167,24 +178,68 @@ def test_small_strata_share_cutoffs(spark):
     assert {r.good: r.n for r in got} == {True: 4500, False: 50} and {r.good: r.k for r in got}[False] == 0.0 and {r.good: r.k for r in got}[True] > 0.9
 
 
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M
+    return x ^ (x >> 31)
+
+
+def plain_features(text):
+    """Buckets of words, word pairs and byte triples, without numpy."""
+    out, base = [], 0x9E3779B97F4A7C15
+    hashes = []
+    for w in WORD.findall(text or ""):
+        h = sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(w.encode()))
+        hashes.append(plain_mix(h & M))
+    out += [plain_mix(h) >> 48 for h in hashes]
+    out += [0 if x == y else plain_mix((x * 0xD6E8FEB86659FD93 + y) & M) >> 48 for x, y in zip(hashes, hashes[1:], strict=False)]
+    data = (text or "").encode()
+    return out + [((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 0x9E3779B1 % (1 << 32)) >> 16 for k in range(len(data) - 2)]
+
+
 def test_resampling_matches_brute_force(spark, docs, labels, empty):
+    import math
+
     got = resampling.quality_resample(docs, labels, k=8, temperature=0.0).collect()
-    feats = {}
-    for n, (i, t, *_) in enumerate(ROWS):
-        data, off = vec.utf8(__import__("pyarrow").array([t or ""]))
-        feats[n] = resampling.features(data, off)[0]
-    raw = sum((np.bincount(f, minlength=1 << 16) for f in feats.values()), np.zeros(1 << 16))
+    feats = [plain_features(t) for _, t, *_ in ROWS]
     fit = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").select("doc_id").where(f"xxhash64({8}, doc_id) % 2 = 0").distinct().collect() if r.doc_id is not None}
-    target = sum((np.bincount(feats[n], minlength=1 << 16) for n, r in enumerate(ROWS) if r[0] in fit), np.zeros(1 << 16))
-    ratio = resampling.log_ratio(raw, target)
-    want = Counter((r[0], len(feats[n]), round(float(ratio[feats[n]].sum()), 6)) for n, r in enumerate(ROWS))
-    assert Counter((r.doc_id, r.n_features, round(r.log_weight, 6)) for r in got) == want
-    assert all(abs(r.score - r.log_weight / max(r.n_features, 1)) < 1e-12 for r in got)
-    kept = [r.score for r in got if r.kept]
-    assert len(kept) >= 8 and min(kept) >= sorted((r.score for r in got), reverse=True)[7] - 1e-6
+    raw, target = Counter(), Counter()
+    for f, r in zip(feats, ROWS, strict=True):
+        raw.update(f)
+        target.update(f if r[0] in fit else ())
+    p, q = sum(target.values()) + (1 << 16), sum(raw.values()) + (1 << 16)
+    ratio = {x: math.log((target[x] + 1) / p) - math.log((raw[x] + 1) / q) for x in raw}
+    weight = [sum(ratio[x] for x in f) for f in feats]
+    assert Counter((r.doc_id, r.n_features, round(r.log_weight, 5)) for r in got) == Counter((r[0], len(f), round(w, 5)) for f, w, r in zip(feats, weight, ROWS, strict=True))
+    # k is split over the bands by their sizes; in each the largest weights are drawn
+    bands = {}
+    for f, w in zip(feats, weight, strict=True):
+        bands.setdefault(int(math.log2(len(f) + 1)), []).append(w)
+    seen = given = 0
+    for band, ws in sorted(bands.items()):
+        seen += len(ws)
+        n = 8 * seen // len(ROWS) - given
+        given += n
+        least = sorted(ws)[-n] if n else math.inf
+        assert sorted(round(r.log_weight, 3) for r in got if r.band == band and r.kept) == sorted(round(w, 3) for w in ws if w >= least - 1e-5)
     assert resampling.quality_resample(empty, labels).count() == 0 and resampling.quality_resample(docs, labels.limit(0)).where("not kept").count() == 0
 
 
+def test_resampling_draws_by_weight(spark):
+    """Two kinds of texts whose weights differ little: temperature 1 mixes them, 0 doesn't,
+    and a seed gives the same draw again."""
+    rows = [(i, f"{'x' if i % 2 else 'y'} same words here and there {i % 7}") for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 2 or i % 5 == 0)) for i in range(2000)], "doc_id long, quality int")
+    draw = lambda **x: {r.doc_id for r in resampling.quality_resample(d, lab, k=600, **x).where("kept").collect()}
+    plain, one, again, other = draw(temperature=0.0), draw(), draw(), draw(seed=8)
+    assert one == again and one != other and abs(len(one) - 600) <= 1 and len(one - plain) > 60
+    assert sum(i % 2 for i in one) > 300
+
+
 def test_ngram_buckets():
     text = b"aa aa bb\xc3\xa9cc"
     buckets, docs = resampling.features(np.frombuffer(text, np.uint8), np.array([0, 5, 5, len(text)]))
@@ -202,6 +257,7 @@ def test_resampling_holds_out(spark):
     wrong = sum(r.kept != (r.doc_id < 400) for r in got)
     assert wrong <= 0.02 * len(got)
     assert sum(r.kept for r in resampling.quality_resample(d, lab, k=100).collect()) == 100
+    assert resampling.target_counts({3: (100, 40), 4: (50, 50)}, __import__("pandas").DataFrame({"band": [3] * 40, "score": [1.0] * 20 + [0.0] * 20, "good": [True] * 22 + [False] * 18}), 0.5) == {3: 45, 4: 50}
 
 
 def test_token_shards_round_trip(spark, docs, empty, tmp_path):
@@ -229,6 +285,19 @@ def test_re_pair_shrinks_and_expands():
     last = ids == 2
     s, _, rules = token_shards.re_pair(ids, last, 100)
     assert len(s) < len(ids) / 2 and rules and (token_shards.expand(s, rules, 100) == ids).all()
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(r.integers(1, 200))
+        ids, last = r.integers(0, 3, n), r.random(n) < 0.1
+        last[-1] = True
+        s, ends, rules = token_shards.re_pair(ids, last.copy(), 10)
+        assert (token_shards.expand(s, rules, 10) == ids).all() and ends.sum() == last.sum()
+        # no pair is left with MIN_USES places that don't overlap
+        left = Counter()
+        for (x, y), run in itertools.groupby(zip(s[:-1][~ends[:-1]].tolist(), s[1:][~ends[:-1]].tolist(), strict=True)):
+            k = len(list(run))
+            left[x, y] += (k + 1) // 2 if x == y else k
+        assert max(left.values(), default=0) < token_shards.MIN_USES
     odd = "\x1c ΣΑΣ İstanbul ẞ ﬁn É. don't x<|endoftext|> y  3½"
     e = token_shards.encoder(WORD_BPE)
     assert np.frombuffer(e.encode(odd), "<u4").tolist() == e.tokenizer.encode(odd, add_special_tokens=False).ids
@@ -315,6 +384,53 @@ def test_near_dedup_families(spark):
     assert [got[i] for i in range(len(rows))] == root
 
 
+def test_near_dedup_hot_lists(spark, monkeypatch):
+    """Documents of one long common passage and own words: lists are hot, few are linked."""
+    r, rows = np.random.default_rng(5), []
+    common_part = words(50, 60)
+    for f in range(70):
+        own = words(2000 + f, 40).split()
+        for copy in range(1 + f % 3):
+            w = list(own)
+            for _ in range(copy):
+                w[int(r.integers(0, 40))] = words(int(r.integers(10_000, 90_000)), 1)
+            rows.append((len(rows), common_part + " " + " ".join(w)))
+    rows += [(len(rows) + i, common_part + " " + words(7000 + i, int(n))) for i, n in enumerate((3, 4, 5, 6, 8, 10, 200))]
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if v == hi else v for v in root]
+    assert len(set(root)) < len(rows) - 20
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = near_dedup.hot_links
+    used = []
+    for block in (near_dedup.BLOCK, 500):  # in one block, and in many
+
+        def links(member, sets, percent, block=block):
+            used.append(member.count())
+            return whole(member, sets, percent, block)
+
+        monkeypatch.setattr(near_dedup, "hot_links", links)
+        got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(d).collect()}
+        assert [got[i] for i in range(len(rows))] == root
+    assert min(used) > 100
+
+
+def test_overlaps():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 300, n)).astype(np.uint64) for n in (0, 5, 60, 80, 200, 200, 100, 90, 250, 250, 250, 250)]
+    both = near_dedup.overlaps(sets[:7], sets[7:])
+    assert all(both[i, j] == len(set(x) & set(y)) for i, x in enumerate(sets[:7]) for j, y in enumerate(sets[7:]))
+    own = near_dedup.overlaps(sets)
+    assert all(own[i, j] == len(set(x) & set(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+    pairs = near_dedup.block_links(np.arange(12), sets, 30)
+    linked = {(i, j) for i in range(12) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 30 * len(set(sets[i]) | set(sets[j])) > 0}
+    nodes, root = near_dedup._small_components(np.array(sorted(linked)))
+    assert {tuple(p) for p in pairs.tolist()} == {(n, x) for n, x in zip(nodes.tolist(), root.tolist(), strict=True) if n != x}
+
+
 def test_components_distributed_and_on_driver(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (100, 100), (3, 1)], "a long, b long")
     want = {i: (i // 10) * 10 for i in range(40)} | {100: 0}
@@ -381,6 +497,50 @@ def test_simple_tree_matching():
     assert wrapper_induction.Page("<div>" * 3000 + "deep").text() == "deep"
 
 
+def test_tree_matching_is_the_largest():
+    r = __import__("random").Random(3)
+
+    def brute(la, ka, lb, kb, x=0, y=0):
+        if la[x] != lb[y]:
+            return 0
+        m = [[0] * (len(kb[y]) + 1) for _ in range(len(ka[x]) + 1)]
+        for i, p in enumerate(ka[x]):
+            for j, q in enumerate(kb[y]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute(la, ka, lb, kb, p, q))
+        return m[-1][-1] + 1
+
+    some = lambda: wrapper_induction.Page("<body>" + "".join(r.choice(["<div>", "<ul>", "<section class=x>", "</div>", "</ul>", "</section>", "t"]) for _ in range(r.randint(0, 22)))).structure()
+    for _ in range(300):
+        a, b = some(), some()
+        (la, ka), (lb, kb), m = wrapper_induction._children(a), wrapper_induction._children(b), wrapper_induction.align(a, b)
+        above_a, above_b = ({k: i for i, ks in enumerate(kids) for k in ks} for kids in (ka, kb))
+        hit = [(x, y) for x, y in enumerate(m) if y >= 0]
+        assert len(hit) == brute(la, ka, lb, kb) and all(la[x] == lb[y] and (not x or m[above_a[x]] == above_b[y]) for x, y in hit)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<a " * 300_000, ""), ('<a ="' * 300_000, ""), ("<!" * 300_000, ""), ("<script>" + "</script " * 100_000, ""), ("<div a='" * 100_001 + ">x", "x"), ("<div " * 100_000 + ">x", "x"), ("a < b <3 </> c", "a < b <3 c"),
+        ("<div class='a\nb' id=\"c\r\nd\">x<p title=it's>y</div>", "x\ny"), ("<!-- <p>no --><p>yes<!-- open <p>no", "yes"),
+    ],
+)
+def test_odd_pages_take_linear_time(html, text):
+    p = wrapper_induction.Page(html)
+    assert p.text() == text and len(wrapper_induction._children(p.structure())[0]) == len(p.labels)
+    wide = "\n".join(["-1 html", *(f"0 div.c{i * i % 901}" for i in range(10_000))])
+    found = wrapper_induction.align(wide, wide.replace("c1", "c2"))
+    assert found[0] == 0 and sorted(x for x in found if x >= 0) == [x for x in found if x >= 0]
+
+
+def test_wrapper_pool_and_copies(spark):
+    """Rotating texts outside a landmark go; a host of one page copied over keeps it."""
+    rows = [(i, f"http://r.example/{i}", f"<body><div><div>Deal {i % 3}</div><div>Own story {i}</div></div>") for i in range(12)]
+    rows += [(20 + i, f"http://c.example/{i}", "<body><article><p>The one story</article><div class=menu>m</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own story {i}" for i in range(12)} | {20 + i: "The one story" for i in range(8)}
+
+
 def test_byte_bpe(spark, docs, empty):
     import tiktoken
 
