@@ -45,11 +45,11 @@ class Candidate:
 
 def observe(docs: DataFrame, format: str) -> DataFrame:
     """docs: path, kind, view, sheets, pdf, error. One row per readable document with
-    ``ord`` (its place by path) and the facts of its format."""
+    ``ord`` (its path, which orders the corpus) and the facts of its format."""
     good = docs.where(F.col("error").isNull() & (F.col("kind") == ("xlsx" if format == "xlsx" else format)))
     if format == "pdf":
         good = good.where(F.col("pdf.error").isNull())
-    base = good.withColumn("extension", S.extension(F.col("path"))).withColumn("ord", F.row_number().over(Window.orderBy("path")))
+    base = good.withColumn("extension", S.extension(F.col("path"))).withColumn("ord", F.col("path"))
     keep = ["ord", "path", "extension"]
     filled = lambda rows: F.size(F.filter(rows, lambda r: F.exists(r, lambda v: ~S.blank(v)))).cast("long")
     if format == "xlsx":
@@ -102,17 +102,20 @@ def dominant_largest(values: Column) -> Column:
     return F.array_max(counted)["w"]
 
 
-def candidates(observed: DataFrame, format: str, total: int) -> list[Candidate]:
+def candidates(observed: DataFrame, format: str, total: int, least: float = 0.0) -> list[Candidate]:
+    """Facts in at least the share ``least`` of the documents: rarer ones aren't
+    collected, so the driver gets at most their number per document divided by it."""
     out: list[Candidate] = []
+    common_ones = lambda df: df.where(F.col("n") / F.lit(total) + F.lit(EPSILON) >= F.lit(float(least))).collect()
     add = lambda kind, n, **p: out.append(Candidate(Assertion(kind, {("" if k == "text" else k): v for k, v in p.items()}), int(n), total))
     if format == "xlsx":
         seen = {r[0] for r in observed.select(F.lower("extension")).distinct().collect()} & {"xls", "xlsx"}
         add("filename_regex", total, pattern={("xls",): r"(?i).*\.xls$", ("xls", "xlsx"): r"(?i).*\.xls(x)?$"}.get(tuple(sorted(seen)), r"(?i).*\.xlsx$"))
-        for r in support(observed, F.transform("sheets", lambda s: s["name"])).collect():
+        for r in common_ones(support(observed, F.transform("sheets", lambda s: s["name"]))):
             add("sheet_exists", r["n"], text=r["item"])
-        for r in observed.select(F.explode("sheets").alias("s")).groupBy("s.name").agg(F.min("s.rows").alias("low"), F.count(F.lit(1)).alias("n")).collect():
+        for r in common_ones(observed.select(F.explode("sheets").alias("s")).groupBy("s.name").agg(F.min("s.rows").alias("low"), F.count(F.lit(1)).alias("n"))):
             add("sheet_min_rows", r["n"], sheet=r["name"], min_rows=int(r["low"]))
-        for r in support(observed, F.col("cells"), "sheet", "cell", "value").collect():
+        for r in common_ones(support(observed, F.col("cells"), "sheet", "cell", "value")):
             add("cell_eq", r["n"], sheet=r["sheet"], cell=r["cell"], value=r["value"])
     elif format == "csv":
         add("filename_regex", total, pattern=r"(?i).*\.csv$")
@@ -121,34 +124,47 @@ def candidates(observed: DataFrame, format: str, total: int) -> list[Candidate]:
         if low is not None:
             add("sheet_min_rows", total, sheet="Sheet1", min_rows=int(low))
         heads = F.filter(F.transform("headers", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: ~S.blank(x["h"]))
-        for r in support(observed, heads, "i", "h").collect():
+        for r in common_ones(support(observed, heads, "i", "h")):
             add("cell_eq", r["n"], sheet="Sheet1", cell=A.cell_name(0, r["i"]), value=r["h"])
     elif format == "pdf":
         add("filename_regex", total, pattern=r"(?i).*\.pdf$")
         pages = observed.agg(F.min("page_count").alias("lo"), F.max("page_count").alias("hi"), F.count("page_count").alias("n")).first()
         if pages["n"]:
             add("page_count", pages["n"], min=int(pages["lo"]), max=int(pages["hi"]))
-        for r in support(observed, F.col("info"), "key", "value").collect():
+        for r in common_ones(support(observed, F.col("info"), "key", "value")):
             add("metadata_regex", r["n"], key=r["key"], pattern=f"^{escape(r['value'])}$")
     else:
         _html_candidates(observed, add, total)
     return out
 
 
+def first_headings(observed: DataFrame) -> DataFrame:
+    """How many documents begin with each heading, the most common first, then by text."""
+    first = observed.select(F.try_element_at("headings", F.lit(1)).alias("h")).where("h is not null")
+    return first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h")
+
+
+def width_mode(widths: DataFrame) -> DataFrame:
+    """widths: w, one per document. One row: ``w`` (the most frequent, of several the
+    largest), ``tolerance`` (the largest distance from it) and ``n`` documents."""
+    counts = widths.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.max(F.struct("n", "w"))["w"].alias("w"), F.max("w").alias("hi"), F.min("w").alias("lo"), F.sum("n").alias("n"))
+    return one.select("w", F.greatest(F.col("hi") - F.col("w"), F.col("w") - F.col("lo")).alias("tolerance"), "n")
+
+
 def _html_candidates(observed: DataFrame, add, total: int) -> None:
     add("filename_regex", total, pattern=r"(?i).*\.html?$")
-    first = observed.select(F.try_element_at("headings", F.lit(1)).alias("h")).where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h").first()
+    first = first_headings(observed).first()
     if first:
         add("heading_exists", first["n"], text=first["h"])
     pages = observed.where("page_sections > 0").agg(F.min("page_sections").alias("lo"), F.max("page_sections").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if pages["n"]:
         add("page_section_count", pages["n"], min=int(pages["lo"]), max=int(pages["hi"]))
-    widths = observed.select(dominant_largest(F.filter(F.transform("tables", lambda t: t["columns"]), lambda w: w > 0)).alias("w")).where("w is not null")
-    mode = widths.groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "w")).alias("m"), F.max("w").alias("hi"), F.min("w").alias("lo"), F.sum("n").alias("n")).first()
-    if mode["m"] is not None:
-        w = mode["m"]["w"]
+    widths = observed.select(dominant_largest(F.filter(F.transform("tables", lambda t: t["columns"]), lambda w: w > 0)).alias("w"))
+    mode = width_mode(widths).first()
+    if mode["w"] is not None:
         sample = observed.agg(F.max("page_sections")).first()[0]
-        add("dominant_column_count", mode["n"], count=w, tolerance=max(mode["hi"] - w, w - mode["lo"]), sample_pages=int(sample if sample is not None else 1))
+        add("dominant_column_count", mode["n"], count=mode["w"], tolerance=mode["tolerance"], sample_pages=int(sample if sample is not None else 1))
     # the table with most telling headers of each document, then the modal place of it
     telling = lambda t: F.filter(t["headers"], lambda h: ~S.ascii_lower(S.trim(h)).isin(*GENERIC))
     best = F.array_max(F.filter(F.transform("tables", lambda t: F.struct(F.size(telling(t)).alias("n"), F.coalesce(t["page"], F.lit(-1)).alias("page"), t["columns"].alias("c"), (-t["page_index"]).alias("less"), t["pos"].alias("pos"), telling(t).alias("tokens"))), lambda x: x["n"] > 0))
@@ -203,7 +219,7 @@ def from_documents(docs: DataFrame, format: str, template_id: str, min_confidenc
     total = observed.count()
     if not total:
         raise LearnError("no document could be read")
-    found = sorted(candidates(observed, format, total), key=lambda c: sort_key(c.assertion).encode())
+    found = sorted(candidates(observed, format, total, 0.0 if calibrate is not None else min_confidence), key=lambda c: sort_key(c.assertion).encode())
     if calibrate is not None:
         for c in found:
             q = support_query(c.assertion)

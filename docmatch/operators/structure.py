@@ -427,16 +427,29 @@ def native_headings(text: Column) -> Column:
 def native_sections(headings: Column, line_count: Column) -> Column:
     """Line ranges: a preamble, and for each heading up to the next one not below it."""
 
-    def end(h: Column) -> Column:
-        later = F.filter(headings, lambda x: (x["line"] > h["line"]) & (x["level"] <= h["level"]))
-        return F.coalesce(F.array_min(F.transform(later, lambda x: x["line"])) - 1, line_count)
-
-    own = F.transform(headings, lambda h: F.struct(h["text"].alias("heading"), h["line"].alias("start_line"), end(h).cast("int").alias("end_line")))
+    # from the last heading back: the next line of a heading of each level or a higher one
+    def back(state: Column, h: Column) -> Column:
+        return F.struct(
+            F.concat(F.slice(state["next"], F.lit(1), h["level"] - 1), F.array_repeat(h["line"], 7 - h["level"])).alias("next"),
+            F.array_append(state["ends"], F.element_at(state["next"], h["level"]) - 1).alias("ends"),
+        )
+
+    start = F.struct(F.array_repeat((line_count + 1).cast("int"), 6).alias("next"), F.array().cast("array<int>").alias("ends"))
+    ends = F.aggregate(F.reverse(headings), start, back, lambda state: state["ends"])
+    own = S.let(ends, lambda e: F.transform(headings, lambda h, i: F.struct(h["text"].alias("heading"), h["line"].alias("start_line"), F.element_at(e, F.size(e) - i).alias("end_line"))))
     first = F.when(F.size(headings) == 0, line_count).otherwise(F.try_element_at(headings, F.lit(1))["line"] - 1)
     preamble = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(1).alias("start_line"), first.cast("int").alias("end_line")))
     return F.when((F.size(headings) == 0) | (first >= 1), F.concat(preamble, own)).otherwise(own)
 
 
+def native_heading_above(headings: Column, line_count: Column) -> Column:
+    """For each line the text of the heading at or above it, or null."""
+    next_line = lambda i: F.coalesce(F.try_element_at(headings, (i + 2).cast("int"))["line"], line_count + 1)
+    runs = F.transform(headings, lambda h, i: F.array_repeat(h["text"], (next_line(i) - h["line"]).cast("int")))
+    first = F.coalesce(F.try_element_at(headings, F.lit(1))["line"] - 1, line_count).cast("int")
+    return F.concat(F.array_repeat(F.lit(None).cast("string"), first), F.flatten(runs))
+
+
 def native_squeeze(text: Column) -> Column:
     """Line ends trimmed, runs of blank lines as one."""
     keep = lambda t: F.filter(t, lambda x, i: (x != "") | (i == 0) | (F.try_element_at(t, i.cast("int")) != ""))
