@@ -392,17 +392,8 @@ def o06_semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS seq, row_number() OVER (ORDER BY doc_id) AS place FROM documents")
 def o01_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records come out in the order of their lines, whatever the partitions."""
-    out = manifest_order(_run(spark, sf_dir).repartition(7, "value"))
-    return out.select("seq", "place")
-
-
-def manifest_order(out: DataFrame) -> DataFrame:
-    """The place of each output line, by the sink's order: range partitions, then a count
-    of the lines before each."""
-    ranged = out.repartitionByRange(8, "seq").sortWithinPartitions("seq").select("seq", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row per partition
-    return ranged.join(F.broadcast(before), "p").select("seq", (F.col("m") - F.shiftleft(F.shiftright("m", 33), 33) + F.col("before") + 1).alias("place"))
+    out = _run(spark, sf_dir).repartition(7, "value").select(F.col("seq").alias("id"), (-F.col("seq")).alias("back"))
+    return hybrid.ranked(out, "back", "place").select(F.col("id").alias("seq"), (F.col("place") + 1).alias("place"))
 
 
 # Scalars

@@ -123,6 +123,8 @@ def _run(a: argparse.Namespace) -> int:
         code = EXIT_PARTIAL
     text = "".join(r["value"] + "\n" for r in out.orderBy("seq").toLocalIterator())
     sys.stdout.write(text)
+    for r in out.where("warning is not null").orderBy("seq").select("warning").toLocalIterator():
+        print(r["warning"], file=sys.stderr)
     if a.progress:
         print(json.dumps({"event": "progress", "records": len(rows)}), file=sys.stderr)
     if not a.no_witness:
@@ -151,6 +153,12 @@ def _write(text: str, out: str | None) -> None:
         sys.stdout.write(text)
 
 
+def _learned(inputs: list[tuple[str, bytes]], params: dict, code: int, text: str) -> None:
+    from .operators import ledger
+
+    ledger.append(ledger.default_path(), ledger.record(inputs, params, "INFERRED", code, text.encode()))
+
+
 def _infer(a: argparse.Namespace) -> int:
     from .operators import learn
     from .sources import manifest
@@ -167,7 +175,10 @@ def _infer(a: argparse.Namespace) -> int:
     except learn.LearnError as e:
         print(e, file=sys.stderr)
         return EXIT_REFUSED
-    _write(learn.emit_yaml(profile), a.out)
+    text = learn.emit_yaml(profile)
+    _write(text, a.out)
+    paths = "\n".join(r["path"] for r in files.toLocalIterator())
+    _learned([(a.dir, paths.encode())], {"command": "infer", "format": a.format, "id": a.id, "min_confidence": a.min_confidence}, EXIT_OK, text)
     return EXIT_OK
 
 
@@ -186,8 +197,10 @@ def _infer_schema(a: argparse.Namespace) -> int:
     except (learn.LearnError, OSError) as e:
         print(e, file=sys.stderr)
         return EXIT_REFUSED
-    _write(learn.emit_yaml(profile), a.out)
-    return EXIT_PARTIAL if missing else EXIT_OK
+    text, code = learn.emit_yaml(profile), EXIT_PARTIAL if missing else EXIT_OK
+    _write(text, a.out)
+    _learned([(x, Path(x).read_bytes()) for x in (a.doc, a.fields)], {"command": "infer-schema", "id": profile["template_id"], "missing": missing}, code, text)
+    return code
 
 
 def _struct_check(a: argparse.Namespace) -> int:

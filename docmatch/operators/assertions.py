@@ -7,6 +7,7 @@ joined or shuffled. A `$name` sheet is replaced by the column that binds it."""
 
 from __future__ import annotations
 
+import bisect
 import re
 from typing import Any
 
@@ -546,9 +547,11 @@ def is_near(text: str, anchor: Any, value: Any, within: int) -> bool:
     """Whether a value is within so many bytes of an anchor; overlaps are at 0, and so
     are gaps of under ten bytes of white space."""
     anchors, values = spans(text, anchor), spans(text, value)
-    data = text.encode()
+    data, starts = text.encode(), [v[0] for v in values]
     for a in anchors:
-        for v in values:
+        # matches are in order and don't overlap: the nearest on each side are enough
+        k = bisect.bisect_left(starts, a[1])
+        for v in values[max(k - 1, 0) : k + 1]:
             lo, hi = (a[1], v[0]) if v[0] >= a[1] else (v[1], a[0])
             gap = hi - lo
             if gap <= within or (gap < 10 and not data[lo:hi].decode("utf-8", "replace").strip()):

@@ -57,14 +57,25 @@ def embedding(text: Column, dim: int = DIM) -> Column:
     slot = lambda t: F.pmod(F.xxhash64(F.lit(SEED), t), F.lit(dim)).cast("int")
     sign = lambda t: F.when(F.pmod(F.xxhash64(F.lit(SEED + 1), t), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     pairs = F.transform(ts, lambda t: F.struct(slot(t).alias("s"), sign(t).alias("w")))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["s"] == i), F.lit(0.0), lambda a, p: a + p["w"]))
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    vector = S.let(pairs, lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["s"] == i), F.lit(0.0), lambda a, p: a + p["w"])))
+    # each computed once: an expression in a lambda's body would run for every element
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return S.let(vector, lambda v: S.let(length(v), lambda n: scaled(v, n)))
 
 
 def ranked(hits: DataFrame, score: str, rank: str) -> DataFrame:
-    """0-based rank by score, then id; hits are those of one query."""
-    return hits.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), "id")) - 1)
+    """0-based rank by score, then id; hits are those of one query. Range partitions are
+    sorted by themselves, and the hits of the partitions before are added: no task sees
+    all hits. Cached, so that both uses see the same ranges."""
+    order = (F.desc(score), F.col("id"))
+    ranged = hits.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))  # a row per partition
+    placed = ranged.join(F.broadcast(before), part == F.col("_p"))
+    return placed.withColumn(rank, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b")).drop("_m", "_p", "_b")
 
 
 def fuse(lexical_hits: DataFrame, semantic_hits: DataFrame, k: int | None = None) -> DataFrame:

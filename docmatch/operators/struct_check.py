@@ -65,7 +65,7 @@ def groups(paths: DataFrame, column: str = "relative_path") -> DataFrame:
 def check(directories: DataFrame, rules: list[Rule]) -> DataFrame:
     """One record per rule and directory that it applies to, by rule and directory. A
     rule whose group glob can't be read applies to none."""
-    parts = []
+    found = []
     for r in rules:
         try:
             group = glob_to_regex(r.group_by)
@@ -74,19 +74,17 @@ def check(directories: DataFrame, rules: list[Rule]) -> DataFrame:
         required, optional = _globs(r.required), _globs(r.optional)
         none = F.array().cast("array<string>")
         missing = [F.when(~F.exists("files", _any_of([(p, g)])), F.lit(p)) for p, g in required]
-        parts.append(
-            directories.where(F.col("dir").rlike(group)).select(
-                F.lit(VERSION).alias("version"), F.lit(r.id).alias("rule_id"), F.lit(r.group_by).alias("group_pattern"), F.col("dir").alias("matched_directory"),
-                F.filter("files", _any_of(required)).alias("present"),
-                (F.sort_array(F.filter(F.array(*missing), lambda x: x.isNotNull())) if missing else none).alias("missing"),
-                F.filter("files", _none_of(required + optional)).alias("unexpected"),
-            )
+        record = F.struct(
+            F.lit(r.id).alias("rule_id"), F.lit(r.group_by).alias("group_pattern"), F.filter("files", _any_of(required)).alias("present"),
+            (F.sort_array(F.filter(F.array(*missing), lambda x: x.isNotNull())) if missing else none).alias("missing"),
+            F.filter("files", _none_of(required + optional)).alias("unexpected"),
         )
-    if not parts:
+        found.append(F.when(F.col("dir").rlike(group), record))
+    if not found:
         return directories.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("version", "string"), ("rule_id", "string"), ("group_pattern", "string"), ("matched_directory", "string"), ("outcome", "string"), ("present", "array<string>"), ("missing", "array<string>"), ("unexpected", "array<string>"))])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # all rules in one scan: a directory's records are an array of its row
+    each = directories.select("dir", F.explode_outer(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).where("r is not null")
+    out = each.select(F.lit(VERSION).alias("version"), "r.rule_id", "r.group_pattern", F.col("dir").alias("matched_directory"), "r.present", "r.missing", "r.unexpected")
     outcome = F.when(F.size("missing") == 0, "complete").when(F.size("present") == 0, "empty").otherwise("partial")
     return out.withColumn("outcome", outcome).orderBy("rule_id", "matched_directory")
 

@@ -97,6 +97,28 @@ class Definition:
     definition_hash: str | None = None
 
 
+class CustomDefinition(Definition):
+    """Base of templates that are written in code: a subclass says what its results are,
+    as a column over the document's row (kind, path, view, sheets, pdf). They are an
+    array of (name, passed, detail, context) in order, ``detail`` null where passed, and
+    are registered, routed, trusted and reported like those of definition files."""
+
+    def __init__(self, template_id: str, format: str, parent: str | None = None, source: str = "builtin:custom", **more: Any):
+        super().__init__(template_id, format, [], parent=parent, source=source, **more)
+
+    def results(self) -> Any:
+        raise NotImplementedError(f"{type(self).__name__} gives no results")
+
+    @staticmethod
+    def result(name: str, passed: Any, detail: Any) -> Any:
+        """One result: detail (text or column) is what is said where it isn't passed."""
+        from pyspark.sql import functions as F
+
+        ok = F.coalesce(passed, F.lit(False))
+        said = F.when(~ok, F.lit(detail) if isinstance(detail, str) else detail)
+        return F.struct(F.lit(name).alias("name"), ok.alias("passed"), said.alias("detail"), F.lit(None).cast("string").alias("context"))
+
+
 def _need(data: dict, key: str, where: str) -> Any:
     if key not in data or data[key] is None:
         raise DefinitionError("E_MISSING_FIELD", f"{where}: missing field `{key}`")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -27,17 +27,25 @@ PROBLEMS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, raw`` of the non-blank lines of a file or folder, numbered from 1 in each
-    file; one task reads a file from its start, so that the numbers are right."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """``seq, raw, file`` of the non-blank lines of a file or folder, numbered from 1 in
+    each file. Large files are read in splits by many tasks: lines are numbered within
+    their split, and the lines of the splits before it are added."""
+    at = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("split"), F.col("value").alias("raw"))
 
     def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}  # a task reads its splits one after the other, each in order
         for p in parts:
-            for name, body in zip(p["path"], p["content"], strict=True):
-                rows = [(name, i, x) for i, x in enumerate(body.decode("utf-8", "replace").split("\n"), 1) if x.strip()]
-                yield pd.DataFrame(rows, columns=["file", "seq", "raw"])
-
-    return files.mapInPandas(number, "file string, seq long, raw string").select("seq", F.regexp_replace("raw", r"\r\z", "").alias("raw"), "file")
+            for k, own in p.groupby(["file", "split"], sort=False):
+                first = seen.get(k, 0)
+                seen[k] = first + len(own)
+                yield own.assign(n=range(first + 1, first + len(own) + 1))
+
+    counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("file").alias("f"), F.col("split").alias("s"), F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))  # a row per split
+    numbered = lines.mapInPandas(number, "file string, split long, raw string, n long").join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    return numbered.where(~S.blank(F.col("raw"))).select((F.col("n") + F.col("before")).alias("seq"), F.regexp_replace("raw", r"\r\z", "").alias("raw"), "file")
 
 
 def _type(raw: Column, path: str) -> Column:

@@ -185,10 +185,3 @@ def read_pdf(body: bytes) -> dict:
     info = deref(trailer.get("/Info"))
     pairs = sorted((k[1:], _text(v, objects)) for k, v in info.items()) if isinstance(info, dict) else []
     return {"page_count": pages, "info": [{"key": k, "value": v} for k, v in pairs]}
-
-
-def sparse_text(page_count, text_length) -> str | None:
-    """The warning for a long PDF with next to no text."""
-    if page_count is not None and text_length is not None and page_count > 10 and text_length < 100:
-        return f"{page_count} pages but {text_length} characters of text: scanned, or the extraction failed"
-    return None

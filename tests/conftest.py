@@ -8,11 +8,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.sql.codegen.cache.maxEntries", "400").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.sql.codegen.cache.maxEntries", "400").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="docmatch-tests-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -2,10 +2,12 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from docmatch import catalog
 from docmatch.functions.blake3 import blake3_hex
 from docmatch.functions.regexlang import RegexError, compile_python, escape, glob_to_regex, to_java
+from docmatch.operators import assertions as A
 from docmatch.operators import hybrid, learn, ledger, struct_check
 from docmatch.operators.extract import content_hash
 from docmatch.plans import compiled
@@ -160,7 +162,51 @@ def test_readers_refuse_broken_files():
     with pytest.raises(pdf.PdfError):
         pdf.read_pdf(b"hello")
     assert pdf.read_pdf(samples.PDF) == {"page_count": 2, "info": [{"key": "Producer", "value": "Harbour (Press)"}, {"key": "Title", "value": "A"}]}
-    assert pdf.sparse_text(11, 99) and pdf.sparse_text(10, 1) is None
+
+
+def test_sparse_text(spark):
+    from docmatch.operators import engine
+
+    rows = [(1, "pdf", 11, "x" * 99), (2, "pdf", 10, "x"), (3, "pdf", 50, "x" * 100), (4, "text", 50, "x"), (5, "pdf", 50, None), (6, "pdf", None, "x")]
+    d = spark.createDataFrame(rows, "i int, kind string, n int, t string").withColumn("path", F.concat("i", F.lit(".pdf")))
+    d = d.withColumn("pdf", F.struct(F.col("n").alias("page_count"))).withColumn("view", F.struct(F.col("t").alias("normalized")))
+    got = {r.i: r.w for r in d.select("i", engine.sparse_text().alias("w")).collect()}
+    assert [i for i, w in got.items() if w] == [1] and json.loads(got[1])["code"] == "W_SPARSE_TEXT" and "11 pages but 99" in got[1]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    bodies = {"a.jsonl": "\n".join("" if i % 7 == 3 else f'{{"n":{i}}}' + "\r" * (i % 2) for i in range(4000)), "b.jsonl": "\nonly\n\n", "c.jsonl": ""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r.file.rpartition("/")[2], r.seq, r.raw) for r in manifest.read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((n, i, x.removesuffix("\r")) for n, b in bodies.items() for i, x in enumerate(b.split("\n"), 1) if x.strip())
+
+
+def test_ranks_over_ranges(spark):
+    d = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 101).cast("double").alias("s")).repartition(9)
+    got = {r.id: r.place for r in hybrid.ranked(d, "s", "place").collect()}
+    want = {i: k for k, i in enumerate(sorted(range(5000), key=lambda i: (-(i * 7919 % 101), i)))}
+    assert got == want
+
+
+def test_nearness_is_that_of_all_pairs():
+    import random
+    import re
+
+    r = random.Random(1)
+    for _ in range(400):
+        text = "".join(r.choice("ab  é.\n") for _ in range(r.randint(0, 60)))
+        x, y, within = re.compile(r.choice(["a", "aa?", "a|b"])), re.compile(r.choice(["b", "b+", "é", "ab?"])), r.randint(0, 6)
+        data, near = text.encode(), False
+        for a in A.spans(text, x):
+            for v in A.spans(text, y):
+                lo, hi = (a[1], v[0]) if v[0] >= a[1] else (v[1], a[0])
+                near |= hi - lo <= within or (hi - lo < 10 and not data[lo:hi].decode("utf-8", "replace").strip())
+        assert A.is_near(text, x, y, within) == near
 
 
 def test_stream(spark, tmp_path):
