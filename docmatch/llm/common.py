@@ -19,11 +19,13 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only
-    where that is unset (tests on one machine) a temporary folder is made."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only on
+    one machine, where that is unset, a temporary folder is made; a cluster needs it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="docmatch-"))
     return _local_dir[0]
