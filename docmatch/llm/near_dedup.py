@@ -62,13 +62,30 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> list[
     return [h[cuts[i] : cuts[i + 1]] for i in range(w.n_docs)]
 
 
+def long_set(data: np.ndarray, width: int = 3, limit: int | None = None) -> np.ndarray:
+    """The same of one long text, by pieces."""
+    found, n_words = [], 0
+    for start, end, _ in vec.pieces(data, width - 1, limit):
+        w = vec.Words(data[start:end], np.array([0, end - start]), lower=True)
+        n_words += len(w.start)
+        found.append(np.unique(w.windows(width)[1]))
+    if n_words < width:
+        return shingle_sets(data, np.array([0, len(data)]), width)[0]
+    return np.unique(np.concatenate(found))
+
+
+def chunk_sets(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    part = data[offsets[lo] : offsets[hi]]
+    return [long_set(part)] if len(part) > vec.PIECE_BYTES else shingle_sets(part, offsets[lo : hi + 1] - offsets[lo])
+
+
 def _sketch_batches(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = vec.utf8(b.column(1))
             n, sig, sig2, sketch = [], [], [], []
             for lo, hi in vec.chunks(offsets):
-                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                sets = chunk_sets(data, offsets, lo, hi)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, vec.U64)
                 ends = np.cumsum(sizes)
@@ -103,7 +120,7 @@ def _set_batches(bitmap: np.ndarray) -> Callable:
             data, offsets = vec.utf8(b.column(1))
             body: list[bytes] = []
             for lo, hi in vec.chunks(offsets):
-                body += [s.tobytes() for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+                body += [s.tobytes() for s in chunk_sets(data, offsets, lo, hi)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.binary())], names=["s_id", "body"])
         common.release_memory()
 

@@ -52,6 +52,17 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return np.concatenate(buckets), np.concatenate(docs)
 
 
+def tallied(data: np.ndarray, bits: int = BITS, limit: int | None = None) -> np.ndarray:
+    """Counts of all buckets of one long text, by pieces."""
+    total = np.zeros(1 << bits, np.int64)
+    one = lambda x: np.bincount(features(x, np.array([0, len(x)]), bits)[0], minlength=1 << bits)
+    for start, end, then in vec.pieces(data, 1, limit):
+        total += one(data[start:end])
+        if then < end:
+            total -= one(data[then:end])  # the word that the next piece begins with
+    return total
+
+
 def _count_batches(bits: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << bits), np.int64)
@@ -59,6 +70,11 @@ def _count_batches(bits: int) -> Callable:
             data, offsets = vec.utf8(b.column(0))
             target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in vec.chunks(offsets):
+                if offsets[hi] - offsets[lo] > vec.PIECE_BYTES:
+                    own = tallied(data[offsets[lo] : offsets[hi]], bits)
+                    total[0] += own
+                    total[1] += own * int(target[lo])
+                    continue
                 f, d = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bits)
                 total[0] += np.bincount(f, minlength=1 << bits)
                 total[1] += np.bincount(f[target[lo:hi][d]], minlength=1 << bits)
@@ -74,6 +90,10 @@ def _score_batches(ratio: np.ndarray, bits: int, also: tuple[str, ...] = ()) ->
             data, offsets = vec.utf8(b.column(1))
             total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for lo, hi in vec.chunks(offsets):
+                if offsets[hi] - offsets[lo] > vec.PIECE_BYTES:
+                    own = tallied(data[offsets[lo] : offsets[hi]], bits)
+                    total[lo], n[lo] = own @ ratio, own.sum()
+                    continue
                 f, d = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bits)
                 total[lo:hi] = np.bincount(d, weights=ratio[f], minlength=hi - lo)
                 n[lo:hi] = np.bincount(d, minlength=hi - lo)

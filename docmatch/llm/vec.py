@@ -18,6 +18,8 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
+#: Longer texts are looked at in pieces.
+PIECE_BYTES = 8 << 20
 #: Words of more bytes are hashed by BLAKE2.
 MAX_POLY = 200
 
@@ -78,6 +80,33 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def pieces(data: np.ndarray, overlap: int, limit: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """A long text in pieces (start, end, where the next one starts) of about ``limit``
+    bytes that end at white space; the next one begins with the last ``overlap`` words of
+    the one before, so windows of ``overlap`` + 1 words are each in one piece whole. Kernels
+    take some sixty bytes for each of the text, so a text isn't given to them at once."""
+    n, start, size = len(data), 0, limit or PIECE_BYTES
+    while True:
+        end = start + size
+        if end >= n:
+            yield start, n, n
+            return
+        space = IS_SPACE[data[start:end]]
+        solid = ~space
+        solid[1:] &= space[:-1]
+        words = np.flatnonzero(solid)
+        if not space.any() or len(words) < overlap + 2:
+            size *= 2  # few words, as they are long
+            continue
+        end -= int(space[::-1].argmax())
+        words = words[words < end - start]
+        if len(words) < overlap + 2:
+            size *= 2
+            continue
+        yield start, end, start + int(words[-overlap])
+        start, size = start + int(words[-overlap]), limit or PIECE_BYTES
+
+
 class Words:
     """Words of a run of documents: ``start``, ``end`` (byte positions), ``doc``, and
     ``hash`` (64 bits of the word's bytes, equal for equal words)."""

@@ -431,6 +431,34 @@ def test_overlaps():
     assert {tuple(p) for p in pairs.tolist()} == {(n, x) for n, x in zip(nodes.tolist(), root.tolist(), strict=True) if n != x}
 
 
+def test_long_texts_by_pieces():
+    """Kernels give the same for a text in pieces as for the whole."""
+    r = np.random.default_rng(9)
+    for n in range(60):
+        parts = [("ab" * int(r.integers(1, 90)) if r.random() < 0.03 else words(int(r.integers(0, 40)), 1)) + str(r.choice([" ", "\n", "  ", " \t", "\n\n", "é ", "# "])) for _ in range(int(r.integers(0, 160)))]
+        data = np.frombuffer(("" if n % 2 else " ").join(["", *parts]).encode(), np.uint8)
+        ends = np.array([0, len(data)])
+        for limit in (16, 60, 300):
+            assert (near_dedup.long_set(data, 3, limit) == near_dedup.shingle_sets(data, ends)[0]).all()
+            whole = quality_rules._counts(data, ends)
+            assert {k: int(v[0]) for k, v in quality_rules.long_counts(data, limit).items()} == {k: int(v[0]) for k, v in whole.items()}
+            assert (resampling.tallied(data, 16, limit) == np.bincount(resampling.features(data, ends)[0], minlength=1 << 16)).all()
+
+
+def test_a_very_long_text():
+    """30 MB, one text: a few times its size in memory, not sixty times."""
+    import resource
+
+    text = (words(6, 40_000) + "\n") * 120
+    data = np.frombuffer(text.encode(), np.uint8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n = len(text.split())
+    got = quality_rules.long_counts(data)
+    assert got["n_words"][0] == n == 120 * 40_000 and got["n_dup_lines"][0] == 119 and got["n_repeat_words"][0] == n
+    assert 39_000 < len(near_dedup.long_set(data)) <= 40_000 and resampling.tallied(data).sum() > 2 * n
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
+
+
 def test_components_distributed_and_on_driver(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (100, 100), (3, 1)], "a long, b long")
     want = {i: (i // 10) * 10 for i in range(40)} | {100: 0}
