@@ -69,10 +69,12 @@ def normalise_cell(text: Column) -> Column:
 
         return step
 
-    t = trim(text)
-    for mark in "** __ ` * _".split():
-        t = let(t, strip(mark))
-    return t
+    def bare(t: Column) -> Column:
+        for mark in "** __ ` * _".split():
+            t = let(t, strip(mark))
+        return t
+
+    return let(trim(text), lambda t: F.when(t.rlike("^[*_`]"), bare(t)).otherwise(t))
 
 
 def is_number(text: Column) -> Column:
@@ -109,8 +111,10 @@ def is_date(text: Column) -> Column:
     names = "|".join(MONTHS) + "|" + "|".join(m[:3] for m in MONTHS)
     named, dashed = rf"(?i)^({names})\s+(\d{{1,2}}),\s*(\d{{4}})\z", rf"(?i)^(\d{{1,2}})-({'|'.join(m[:3] for m in MONTHS)})-(\d{{4}})\z"
     century = F.when(part(slash2, 3) < "70", F.concat(F.lit("20"), part(slash2, 3))).otherwise(F.concat(F.lit("19"), part(slash2, 3)))
+    # all forms end in a digit and have one of the three signs
     return (
-        F.when(text.rlike(iso), exists(part(iso, 1), part(iso, 2), part(iso, 3)))
+        F.when(~(text.rlike(r"[0-9]\z") & text.rlike("[-/,]")), False)
+        .when(text.rlike(iso), exists(part(iso, 1), part(iso, 2), part(iso, 3)))
         .when(text.rlike(slash4), exists(part(slash4, 3), part(slash4, 1), part(slash4, 2)))
         .when(text.rlike(slash2), exists(century, part(slash2, 1), part(slash2, 2)))
         .when(text.rlike(named), exists(part(named, 3), month_number(part(named, 1)), part(named, 2)))
@@ -123,7 +127,7 @@ def cell_type(value: Column) -> Column:
     """empty, percentage, currency, number, date or string."""
     return let(
         trim(normalise_cell(value)),
-        lambda t: F.when(t == "", "empty").when(is_percentage(t), "percentage").when(is_currency(t), "currency")
+        lambda t: F.when(t == "", "empty").when(~t.rlike("(?i)[0-9]|inf|nan"), "string").when(is_percentage(t), "percentage").when(is_currency(t), "currency")
         .when(is_number(t), "number").when(is_date(t), "date").otherwise("string"),
     )
 
