@@ -14,8 +14,10 @@ from .catalog import _MATCH, DEFINITIONS, _t, query
 from .functions import scalars as S
 from .functions.regexlang import escape, glob_to_regex
 from .operators import assertions as A
-from .operators import diagnose, engine, extract, hybrid, learn, structure
-from .plans.definitions import Assertion
+from .operators import diagnose, engine, extract, hybrid, learn, struct_check, structure
+from .plans import definitions as D
+from .plans.definitions import Assertion, Definition, auto_name
+from .plans.refusals import Refusal
 from .sources import pdf
 
 # Markdown that has to be made normal first
@@ -501,3 +503,132 @@ def n19_cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = _t(spark, sf_dir, "part").select("p_partkey", parsed(S.a1(F.col("p_size"), F.col("p_partkey") % 700)).alias("at"))
     return d.select("p_partkey", F.element_at("at", 1).alias("row"), F.element_at("at", 2).alias("col"))
+
+
+# Directory rules, one by one
+
+
+@query("""WITH {PATHS}, q AS (SELECT DISTINCT j.id, j.dir, unnest(j.req) AS p, unnest(j.req_rx) AS rx FROM j) SELECT id AS rule_id, dir, p AS missing FROM q u WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dir = u.dir AND regexp_matches(f.file, u.rx))""")
+def j10_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = struct_check.check(C._directories(spark, sf_dir), C.RULES)
+    return c.select("rule_id", F.col("matched_directory").alias("dir"), F.explode("missing").alias("missing"))
+
+
+@query("WITH {PATHS} SELECT id AS rule_id, dir, file FROM m WHERE NOT is_req AND NOT is_opt")
+def j11_unexpected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = struct_check.check(C._directories(spark, sf_dir), C.RULES)
+    return c.select("rule_id", F.col("matched_directory").alias("dir"), F.explode("unexpected").alias("file"))
+
+
+@query("""WITH {PATHS}, a AS (SELECT id, dir, bool_or(is_req) AS any_there FROM m GROUP BY id, dir), q AS (SELECT DISTINCT j.id, j.dir, unnest(j.req_rx) AS rx FROM j),
+g AS (SELECT id, dir, COUNT(*) AS n FROM q u WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dir = u.dir AND regexp_matches(f.file, u.rx)) GROUP BY id, dir)
+SELECT a.id AS rule_id, CASE WHEN g.n IS NULL THEN 'complete' WHEN NOT any_there THEN 'empty' ELSE 'partial' END AS outcome, COUNT(*) AS n FROM a LEFT JOIN g ON a.id = g.id AND a.dir = g.dir GROUP BY ALL""")
+def v08_rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return struct_check.check(C._directories(spark, sf_dir), C.RULES).groupBy("rule_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sections
+
+
+@query(r"WITH {SECTIONS} SELECT doc_id, heading, CAST(start_line AS BIGINT) AS line, CAST(end_line - start_line + 1 AS BIGINT) AS n_lines FROM s")
+def j07_section_of_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the heading on their first line, and the lines they hold."""
+    d = C.md_docs(spark, sf_dir).select("doc_id", F.explode("sections").alias("s")).where("s.heading is not null")
+    return d.select("doc_id", F.col("s.heading.text").alias("heading"), F.col("s.heading.line").cast("long").alias("line"), (F.length(F.col("s.content")) - F.length(F.regexp_replace("s.content", "\n", "")) + 1).cast("long").alias("n_lines"))
+
+
+@query(r"WITH {HEADS} SELECT a.doc_id, CAST(a.line AS BIGINT) AS line, CAST((SELECT MIN(b.line) FROM h b WHERE b.doc_id = a.doc_id AND b.line > a.line AND b.level <= a.level) AS BIGINT) AS next_line FROM h a")
+def w04_conditional_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next heading that isn't below this one."""
+    d = C.md_docs(spark, sf_dir).select("doc_id", F.size("ls").alias("n"), F.explode("ranges").alias("r")).where("r.heading is not null")
+    return d.select("doc_id", F.col("r.start_line").cast("long").alias("line"), F.when(F.col("r.end_line") < F.col("n"), F.col("r.end_line") + 1).cast("long").alias("next_line"))
+
+
+@query("""WITH {GRID}, p AS (SELECT doc_id % 3 + 1 AS page, COUNT(*) AS n FROM docs GROUP BY ALL), t AS (SELECT page, n FROM p ORDER BY n DESC, page DESC LIMIT 1)
+SELECT '21_header_token_search:Some(' || page || '):Some(0):["(?i)Line", "(?i)' || CASE WHEN page = 2 THEN 'Flag' ELSE 'Return Flag' END || '"]' AS key, n AS support FROM t""")
+def g14_header_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed = learn.observe(C.table_docs(spark, sf_dir), "html")
+    found = learn.candidates(observed, "html", observed.count())
+    return _learned(spark, [c for c in found if c.assertion.kind == "header_token_search"]).select("key", "support")
+
+
+# Registry: nations (25) as definitions of their region's provider
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list:
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name").orderBy("n_nationkey").collect()  # definitions are few
+
+
+def _as_definition(template_id: str, source: str, parent: str | None = None) -> Definition:
+    return Definition(template_id, "text", [Assertion("text_contains", {"": "x"})], source=source, parent=parent)
+
+
+def _refused(call) -> str:
+    try:
+        call()
+    except Refusal as e:
+        return e.code
+    return "ok"
+
+
+_NATIONS = "FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY n_name) - 1 AS place, n_name AS template_id, r_name AS source {_NATIONS}")
+def o02_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.Registry([_as_definition(r["n_name"], r["r_name"]) for r in _nations(spark, sf_dir)], builtins=False).listing()
+    return spark.createDataFrame([(i, d.template_id, d.source) for i, d in enumerate(found)], "place long, template_id string, source string")
+
+
+@query(f"SELECT 'E_DUPLICATE_FP_ID' AS code, MIN(r_name) AS template_id FROM (SELECT r_name {_NATIONS} GROUP BY r_name HAVING COUNT(*) > 1)")
+def g09_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first repeated id in order of listing refuses the registry."""
+    try:
+        D.Registry([_as_definition(r["r_name"], "builtin") for r in _nations(spark, sf_dir)], builtins=False).check([])
+        rows = []
+    except Refusal as e:
+        rows = [(e.code, e.detail["template_id"])]
+    return spark.createDataFrame(rows, "code string, template_id string")
+
+
+@query(f"SELECT n_name AS template_id, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'E_UNKNOWN_FP' END AS code {_NATIONS}")
+def j15_requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested ids against the registry (J-01), which has every second one."""
+    rows = _nations(spark, sf_dir)
+    known = D.Registry([_as_definition(r["n_name"], "builtin") for r in rows if r["n_nationkey"] % 2 == 0])
+    return spark.createDataFrame([(r["n_name"], _refused(lambda r=r: known.select([r["n_name"]]))) for r in rows], "template_id string, code string")
+
+
+@query(f"SELECT n_name AS template_id, CASE WHEN n_nationkey % 3 = 0 THEN 'E_ORPHAN_CHILD' ELSE 'ok' END AS code {_NATIONS}")
+def j13_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children need their parent among the requested ids."""
+    rows = _nations(spark, sf_dir)
+    known = D.Registry([_as_definition(x, "builtin") for x in sorted({r["r_name"] for r in rows})] + [_as_definition(r["n_name"], "builtin", r["r_name"]) for r in rows])
+    asked = lambda r: [r["n_name"]] if r["n_nationkey"] % 3 == 0 else [r["r_name"], r["n_name"]]
+    return spark.createDataFrame([(r["n_name"], _refused(lambda r=r: known.select(asked(r)))) for r in rows], "template_id string, code string")
+
+
+@query(f"SELECT n_name AS template_id, r_name LIKE 'A%' OR r_name = 'EUROPE' AS trusted {_NATIONS}")
+def v04_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(r["n_name"], D.trusted(r["r_name"], ["A*", "EUROPE", "MIDDLE"])) for r in _nations(spark, sf_dir)], "template_id string, trusted boolean")
+
+
+@query(f"SELECT n_nationkey, 'text_contains__' || lower(replace(r_name, ' ', '_')) || CASE WHEN rn > 1 THEN '__' || (rn - 1) ELSE '' END AS name FROM (SELECT n_nationkey, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS rn {_NATIONS})")
+def w08_auto_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of assertions (E-09), counted where they repeat."""
+    rows = _nations(spark, sf_dir)
+    made = [Assertion("text_contains", {"": r["r_name"]}) for r in rows]
+    auto_name(made)
+    return spark.createDataFrame([(r["n_nationkey"], a.name) for r, a in zip(rows, made, strict=True)], "n_nationkey long, name string")
+
+
+@query(f"SELECT n_nationkey, CAST((n_nationkey % 9 NOT BETWEEN 1 AND 6)::INT + (n_nationkey % 2)::INT + (n_nationkey % 5 = 0)::INT AS BIGINT) AS n_wrong {_NATIONS}")
+def v01_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a definition: its heading level, a pattern, the id."""
+    out = []
+    for r in _nations(spark, sf_dir):
+        k = r["n_nationkey"]
+        d = Definition(" " if k % 5 == 0 else r["n_name"], "markdown", [Assertion("heading_level", {"level": k % 9, "pattern": "x"}), Assertion("text_regex", {"pattern": "(" if k % 2 else "y"})])
+        out.append((k, len(D.validate(d))))
+    return spark.createDataFrame(out, "n_nationkey long, n_wrong long")
