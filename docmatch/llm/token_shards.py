@@ -10,6 +10,7 @@ File: 8 bytes magic, 4 bytes header length, a JSON header, then the arrays it na
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -105,9 +106,9 @@ class WordEncoder:
             self.older, self.known = self.known, _Known(self._new)
         return b"".join(map(self.known.__getitem__, text.split()))
 
-
     def forget(self) -> None:
-        self.known, self.older, self.stems = _Known(self._new), {}, {}
+        """Between shards only the ids of stems stay, ``MAX_WORDS`` at most."""
+        self.known, self.older = _Known(self._new), {}
         common.release_memory()
 
 
@@ -322,13 +323,16 @@ def _write_batches(folder: str, tokenizer: str, base: int, end_id: int) -> Calla
         coder, context = encoder(tokenizer), TaskContext.get()
         tail = np.array([end_id], "<u4").tobytes()
         ids, bodies, counts = [], [], []
-        for b in batches:
-            ids.append(b.column(0))
-            for t in b.column(1):
-                body = coder.encode(t.as_py() or "") + tail
-                counts.append(len(body) // 4)
-                bodies.append(body)
-            bodies = [b"".join(bodies)]
+        gc.disable()  # pieces by the hundred thousand, none of them in cycles
+        try:
+            for b in batches:
+                ids.append(b.column(0))
+                parts = [coder.encode(t or "") + tail for t in b.column(1).to_pylist()]
+                counts += [len(x) // 4 for x in parts]
+                bodies.append(b"".join(parts))
+        finally:
+            gc.enable()
+        bodies = [b"".join(bodies)]
         if not counts:
             return
         coder.forget()
