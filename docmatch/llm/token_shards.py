@@ -223,23 +223,25 @@ def re_pair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, n
     return s, last, rules
 
 
-def expand(symbols: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
-    """The ids that symbols stand for: the youngest rules are undone first."""
+def expand(symbols: np.ndarray, rules: list[np.ndarray], base: int, length: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for. Expansion lengths give each symbol its place in
+    the result, so only what is still a nonterminal is looked at again."""
     s = symbols.astype(np.int64)
-    tops = base + np.concatenate(([0], np.cumsum([len(r) for r in rules]))).astype(np.int64)
-    for k in range(len(rules) - 1, -1, -1):
-        is_rule = s >= tops[k]
-        if not is_rule.any():
-            continue
-        width = 1 + is_rule
-        end = np.cumsum(width)
-        out = np.empty(int(end[-1]), np.int64)
-        pair = rules[k][s[is_rule] - tops[k]]
-        at = end[is_rule]
-        out[end[~is_rule] - 1] = s[~is_rule]
-        out[at - 2], out[at - 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s
+    if not rules:
+        return s
+    pairs = np.concatenate(rules).astype(np.int64)
+    known = _lengths(rules, base) if length is None else length
+    sizes = lambda x: np.where(x >= base, known[np.maximum(x - base, 0)], 1)
+    size = sizes(s)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int64)
+    while len(s):
+        plain = s < base
+        out[at[plain]] = s[plain]
+        s, at = s[~plain], at[~plain]
+        left, right = pairs[s - base, 0], pairs[s - base, 1]
+        s, at = np.concatenate((left, right)), np.concatenate((at, at + sizes(left)))
+    return out
 
 
 def _lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
@@ -296,7 +298,7 @@ class Shard:
             self.symbols |= np.unpackbits(np.frombuffer(part["high"][k * stride : (k + 1) * stride], np.uint8), count=count).astype(np.int64) << (16 + k)
 
     def tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.header["base"])
+        return expand(self.symbols, self.rules, self.header["base"], self.length)
 
     def slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop of the doc-th document; only the symbols that overlap
@@ -307,7 +309,7 @@ class Shard:
         end = np.cumsum(size)
         lo, hi = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
         skipped = int(end[lo - 1]) if lo else 0
-        return expand(s[lo:hi], self.rules, base)[start - skipped : stop - skipped]
+        return expand(s[lo:hi], self.rules, base, self.length)[start - skipped : stop - skipped]
 
 
 def _file(path: str):
