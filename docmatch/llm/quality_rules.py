@@ -14,6 +14,7 @@ labels for any verdict are tested together as one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,6 @@ GRID = {
     "upper_rate": [0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0],
     "mark_rate": [0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.5, 2.0],
 }
-#: Labelled ids used at most (by smallest hash); their signals go to the driver.
-MAX_LABELLED = 40_000
 #: What a share of good documents rejected counts against the same share of bad ones.
 PRICE = 5.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
@@ -161,9 +160,9 @@ def upper_bound(k: int, n: int, error: float) -> float:
     documents would be rejected with a probability of at least ``error``."""
     if n == 0 or k >= n:
         return 1.0
-    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-    j = np.arange(k + 1)
-    comb = logs[n] - logs[j] - logs[n - j]
+    # from k down; above k / n the terms fall, after 12 deviations below any precision
+    j = k - np.arange(min(k, int(12 * math.sqrt(k)) + 50) + 1)
+    comb = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + np.concatenate(([0.0], np.cumsum(np.log(j[:-1] / (n - j[:-1] + 1)))))
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
@@ -178,91 +177,113 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
-#: Stands for all strata that have no cutoffs of their own.
-OTHERS = object()
 NAMES = list(RULES)
+#: The group of all strata that have no cutoffs of their own.
+OTHERS = -1
+#: Per rule a signal that exceeds as many of its cutoffs as the index says.
+LEVELS = np.array([[*GRID[r], np.inf] for r in NAMES])
 
 
-def tightening_path(signals: np.ndarray, good: np.ndarray, risk: float) -> list[tuple[int, int]]:
+def tightening_path(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float) -> list[tuple[int, int]]:
     """Steps (rule, index of its cutoff in the grid) from labelled documents: always the
     one whose further rejections have the largest share of bad less ``PRICE`` times the
-    share of good documents, while it is above 0 and at most half the risk is used up."""
-    n_bad, n_good = max(1, int((~good).sum())), max(1, int(good.sum()))
-    gone, at, path = np.zeros(len(good), bool), [len(GRID[r]) for r in NAMES], []
+    share of good documents, while it is above 0 and at most half the risk is used up.
+    levels: how many cutoffs of each rule are exceeded, a row for each combination; good,
+    bad: how many documents have it."""
+    n_bad, n_good = max(1, int(bad.sum())), max(1, int(good.sum()))
+    gone, at, path = 0, [len(GRID[r]) for r in NAMES], []
     while True:
         best, step = 0.0, None
-        for r, name in enumerate(NAMES):
-            for c in range(at[r]):
-                more = (signals[:, r] > GRID[name][c]) & ~gone
-                lost = int((gone & good).sum() + (more & good).sum())
-                gain = int((more & ~good).sum()) / n_bad - PRICE * int((more & good).sum()) / n_good
-                if lost <= risk / 2 * n_good and gain > best + 1e-12:
+        for r, limit in enumerate(at):
+            # documents at each level and above it
+            more_good, more_bad = (np.bincount(levels[:, r], x, len(GRID[NAMES[r]]) + 1)[::-1].cumsum()[::-1] for x in (good, bad))
+            for c in range(limit):
+                gain = int(more_bad[c + 1]) / n_bad - PRICE * int(more_good[c + 1]) / n_good
+                if gone + int(more_good[c + 1]) <= risk / 2 * n_good and gain > best + 1e-12:
                     best, step = gain, (r, c)
         if step is None:
             return path
         path.append(step)
         at[step[0]] = step[1]
-        gone |= signals[:, step[0]] > GRID[NAMES[step[0]]][step[1]]
+        hit = levels[:, step[0]] > step[1]
+        gone += int(good[hit].sum())
+        levels, good, bad = levels[~hit], good[~hit], bad[~hit]
 
 
-def tested(path: list[tuple[int, int]], signals: np.ndarray, risk: float, error: float) -> dict[str, float]:
+def tested(path: list[tuple[int, int]], signals: np.ndarray, risk: float, error: float, count: np.ndarray | None = None) -> dict[str, float]:
     """The cutoffs after the last step of the path before the first whose bound on the
-    rejected share of the held-out good documents exceeds the risk."""
+    rejected share of the held-out good documents exceeds the risk. count: how many of
+    these have each row of signals, one without it."""
+    count = np.ones(len(signals), np.int64) if count is None else count
     gone, out = np.zeros(len(signals), bool), {}
     for r, c in path:
         gone |= signals[:, r] > GRID[NAMES[r]][c]
-        if upper_bound(int(gone.sum()), len(signals), error) > risk:
+        if upper_bound(int(count[gone].sum()), int(count.sum()), error) > risk:
             break
         out[NAMES[r]] = GRID[NAMES[r]][c]
     return out
 
 
-def select_cutoffs(held: dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]], risk: float, confidence: float, max_strata: int) -> dict[object, dict[str, float]]:
-    """held: per stratum the signals of labelled documents (a row each), whether they are
-    good, and whether they give the path or test it. At most ``max_strata`` strata, those
-    with most good documents to test, have cutoffs of their own, and only if a step that
-    rejects none of these would stand; all others are pooled as ``OTHERS``."""
-    n_test = {s: int((g & ~f).sum()) for s, (_, g, f) in held.items()}
-    error = (1 - confidence) / (min(len(held), max_strata) + 1)
-    ranked = sorted(held, key=lambda s: (-n_test[s], s is None, s or ""))
-    own = [s for s in ranked[:max_strata] if upper_bound(0, n_test[s], error) <= risk]
-    rest = [held[s] for s in ranked if s not in own]
-    groups = {s: held[s] for s in own}
-    if rest:
-        groups[OTHERS] = tuple(np.concatenate(x) for x in zip(*rest, strict=True))
-    return {s: tested(tightening_path(x[f], g[f], risk), x[g & ~f], risk, error) for s, (x, g, f) in groups.items()}
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.1, confidence: float = 0.95, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", max_strata: int = 1000, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def _selected(risk: float, error: float):
+    """Cutoffs of a group from its combinations of levels (a digit for each rule) and
+    what is counted of each."""
+
+    def run(group: pa.Table) -> pa.Table:
+        code, good, bad, held = (group.column(c).to_numpy() for c in ("code", "good", "bad", "held"))
+        levels = code[:, None] // 10 ** np.arange(len(NAMES)) % 10
+        cut = tested(tightening_path(levels, good, bad, risk), LEVELS[np.arange(len(NAMES)), levels], risk, error, held)
+        columns = [pa.array([cut.get(r)], pa.float64()) for r in NAMES]
+        return pa.Table.from_arrays([pa.array([group.column("group")[0].as_py()], pa.int32()), *columns], names=["group", *NAMES])
+
+    return run
+
+
+def select_cutoffs(found: DataFrame, risk: float, confidence: float, max_strata: int) -> tuple[dict[str | None, dict[str, float]], dict[str, float]]:
+    """found: of each labelled document its stratum, whether it is good, whether it gives
+    the path or tests it (``fit``), and its signals. Cutoffs by stratum, and those of all
+    other strata. At most ``max_strata`` strata, those with most good documents to test,
+    have cutoffs of their own, and only if a step that rejects none of these would stand;
+    all others are pooled. Documents are counted by the cutoffs that they exceed: no more
+    than 1.9 million combinations a group (no word length exceeds cutoffs of both of its
+    rules), whatever the number of documents; a group's are in one task."""
+    code = sum((10**i * sum((F.col(r) > c).cast("int") for c in GRID[r]) for i, r in enumerate(NAMES)), F.lit(0))
+    count = lambda x, name: F.count(F.when(x, 1)).alias(name)
+    good, fit = F.col("good"), F.col("fit")
+    cells = common.table(found.groupBy("stratum", code.cast("int").alias("code")).agg(count(fit & good, "good"), count(fit & ~good, "bad"), count(~fit & good, "held")), "levels")
+    strata = cells.groupBy("stratum").agg(F.sum("held").alias("n"))
+    error = (1 - confidence) / (min(strata.count(), max_strata) + 1)
+    ranked = strata.orderBy(F.col("n").desc(), F.col("stratum").asc_nulls_last()).limit(max_strata).collect()
+    own = [r["stratum"] for r in ranked if upper_bound(0, r["n"], error) <= risk]
+    groups = F.broadcast(cells.sparkSession.createDataFrame(list(enumerate(own)), "group int, stratum_key string"))  # at most max_strata rows
+    placed = cells.join(groups, F.col("stratum").eqNullSafe(F.col("stratum_key")), "left").groupBy(F.coalesce("group", F.lit(OTHERS)).alias("group"), "code")
+    counted = placed.agg(*[F.sum(c).alias(c) for c in ("good", "bad", "held")])
+    made = counted.groupBy("group").applyInArrow(_selected(risk, error), "group int, " + ", ".join(f"{r} double" for r in NAMES)).collect()
+    cutoffs = {r["group"]: {n: r[n] for n in NAMES if r[n] is not None} for r in made}
+    return {s: cutoffs[i] for i, s in enumerate(own)}, cutoffs.get(OTHERS, {})
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.1, confidence: float = 0.95, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", max_strata: int = 1000) -> DataFrame:
     """Every document with its counts, ``base_failed``, ``kept``, ``stratum``,
     ``failed_rules`` and ``n_rules`` (rules that its stratum has a cutoff for).
 
     risk: the largest share of good documents that all selected cutoffs together may
-    reject in a stratum, at ``confidence`` for all strata together. Labels with a null id
-    or quality, or of no document, aren't used; several labels of one id count as its
-    largest; beyond ``max_labelled`` ids those with the smallest hashes are taken. A null
-    stratum is one of its own. Strata without enough labels, and all beyond the
-    ``max_strata`` with most, share the cutoffs of their pool. Without labels, or without
-    bad ones, no rule is applied. Repeated rows give repeated results; empty tables give
-    an empty result.
+    reject in a stratum, at ``confidence`` for all strata together. All labels are used
+    but those with a null id or quality, or of no document; several labels of one id count
+    as its largest. A null stratum is one of its own. Strata without enough labels, and all
+    beyond the ``max_strata`` with most, share the cutoffs of their pool. Without labels, or
+    without bad ones, no rule is applied. Repeated rows give repeated results; empty tables
+    give an empty result.
     """
     spark = docs.sparkSession
     stats = common.table(signals(docs, id_col, text_col, stratum_col), "signals")
     base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-    named = (
-        labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(quality_col) == 1).alias("good"))
-        .withColumn("h", F.xxhash64(F.lit(11), "doc_id")).orderBy("h", "doc_id").limit(max_labelled)
-    )
-    named = common.table(named.coalesce(1), "labels")
+    named = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(quality_col) == 1).alias("good"))
+    named = named.withColumn("fit", F.xxhash64(F.lit(11), "doc_id") % 2 == 0)
     rules = [F.expr(e).cast("double").alias(r) for r, e in RULES.items()]
-    found = stats.where(f"not ({base})").join(F.broadcast(named), "doc_id").select("stratum", "good", (F.col("h") % 2 == 0).alias("fit"), "doc_id", *rules)
-    # one row of each labelled id, so at most max_labelled
-    pdf = found.groupBy("doc_id").agg(F.min(F.struct("stratum", "good", "fit", *NAMES)).alias("x")).select("x.*").toPandas()
-    held = {}
-    for s, part in pdf.groupby("stratum", dropna=False):
-        held[s if isinstance(s, str) else None] = part[NAMES].to_numpy(float), part["good"].to_numpy(bool), part["fit"].to_numpy(bool)
-    cutoffs = select_cutoffs(held, risk, confidence, max_strata)
-    pool = cutoffs.pop(OTHERS, {})
+    found = stats.where(f"not ({base})").join(named, "doc_id").select("doc_id", "good", "fit", "stratum", *rules)
+    # one row of each labelled id
+    found = found.groupBy("doc_id", "good", "fit").agg(F.min(F.struct("stratum", *NAMES)).alias("x")).select("good", "fit", "x.*")
+    cutoffs, pool = select_cutoffs(found, risk, confidence, max_strata)
     rows = [(s, True, *[c.get(x) for x in NAMES]) for s, c in cutoffs.items()]
     schema = "stratum_key string, named boolean, " + ", ".join(f"cut_{r} double" for r in RULES)
     cuts = F.broadcast(spark.createDataFrame(rows, schema))  # at most max_strata rows

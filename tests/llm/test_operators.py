@@ -178,6 +178,34 @@ def test_small_strata_share_cutoffs(spark):
     assert {r.good: r.n for r in got} == {True: 4500, False: 50} and {r.good: r.k for r in got}[False] == 0.0 and {r.good: r.k for r in got}[True] > 0.9
 
 
+def test_cutoffs_come_from_all_labels(spark):
+    # "late" has the labelled ids of the largest hashes, behind 42,000 others
+    ids = spark.range(45_050).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64(F.lit(11), "doc_id")).toPandas()["doc_id"].tolist()
+    late, junk = set(ids[42_000:]), set(ids[45_000:])
+    rows = [(i, words(i, 80).replace(" ", "%%% " if i in junk else " ") if i in late else None, "late" if i in late else "early") for i in ids]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i not in junk)) for i in ids], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(d, lab).where("stratum = 'late'").collect()}
+    assert len(got) == 3_050 and not any(got[i] for i in junk) and sum(got.values()) > 2_700
+
+
+def test_tightening_path_by_counts():
+    # combinations that are counted give the path of the documents one by one
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        x, good = r.integers(0, 10, (300, len(quality_rules.NAMES))), r.random(300) < 0.8
+        x[good] //= 3
+        x, good = np.repeat(x, 3, 0), np.repeat(good, 3)
+        cells, at = np.unique(x, axis=0, return_inverse=True)
+        n = [np.bincount(at.reshape(-1), weights=w, minlength=len(cells)).astype(int) for w in (good, ~good)]
+        path = quality_rules.tightening_path(cells, *n, 0.1)
+        assert path == quality_rules.tightening_path(x, good.astype(int), (~good).astype(int), 0.1) and path
+        gone = np.zeros(len(x), bool)
+        for k, c in path:
+            gone |= x[:, k] > c
+        assert (gone & good).sum() <= 0.05 * good.sum()
+
+
 M = (1 << 64) - 1
 
 
