@@ -21,6 +21,7 @@ import hashlib
 import html as html_lib
 import re
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,8 +55,10 @@ NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'
 WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)|</{t}\Z", re.I) for t in RAW}
-#: Steps of one alignment beyond which nodes are matched without a look below them.
-MAX_STEPS = 4_000_000
+#: Weights that an alignment keeps; others are made again when they are asked for.
+KEPT_WEIGHTS = 1 << 24
+#: Pairs of children beyond which two nodes are weighed on their own, not with others.
+OWN_PAIRS = 1 << 16
 
 
 def _next_tag(html: str, at: int) -> tuple[int, re.Match | None, int]:
@@ -202,101 +205,209 @@ def _classes(labels: list[str], kids: list[list[int]], known: dict) -> list[int]
     return out
 
 
+def _numbered(labels: list[str], kids: list[list[int]], known: dict) -> list[int]:
+    """A number for each node, the same for equal labels from the root down."""
+    out = [known.setdefault((-1, labels[0]), len(known))] * len(labels)
+    for i, ks in enumerate(kids):
+        for k in ks:
+            out[k] = known.setdefault((out[i], labels[k]), len(known))
+    return out
+
+
+class _Peers:
+    """The distinct subtrees of one tree at one path, those of fewest children first.
+    Their children stand in a row, each subtree's after a free place."""
+
+    def __init__(self, nodes: list[int], kids: list[list[int]]):
+        self.nodes = sorted(nodes, key=lambda y: len(kids[y]))
+        self.sizes = [len(kids[y]) for y in self.nodes]
+        self.starts = np.cumsum([0] + [n + 1 for n in self.sizes])
+
+    def place(self, kids: list[list[int]], path: list[int], column: list[int]) -> None:
+        """The places of children by path, and their columns among their own peers."""
+        at: dict[int, tuple[list[int], list[int]]] = {}
+        for start, y in zip(self.starts.tolist(), self.nodes, strict=False):
+            for i, k in enumerate(kids[y], start + 1):
+                places, columns = at.setdefault(path[k], ([], []))
+                places.append(i)
+                columns.append(column[k])
+        self.at = {p: (np.array(x), np.array(c)) for p, (x, c) in at.items()}
+        self.segment = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
+
+
+class _Match:
+    """Weights of largest matches of the subtrees of a with those of b at the same path.
+    A subtree of a is weighed with all its peers in b at once, a vector operation for
+    each of its children."""
+
+    def __init__(self, a: str, b: str):
+        self.la, self.ka = _children(a)
+        self.lb, self.kb = _children(b)
+        known: dict = {}
+        self.ca, self.cb = _classes(self.la, self.ka, known), _classes(self.lb, self.kb, known)
+        self.size = [0] * len(known)
+        for (_, ks), c in known.items():  # classes of children come first
+            self.size[c] = 1 + sum(self.size[k] for k in ks)
+        paths: dict = {}
+        self.pb = _numbered(self.lb, self.kb, paths)
+        nodes: dict[int, dict[int, int]] = {}
+        for y, (p, c) in enumerate(zip(self.pb, self.cb, strict=True)):
+            nodes.setdefault(p, {}).setdefault(c, y)
+        self.peers = {p: _Peers(list(x.values()), self.kb) for p, x in nodes.items()}
+        where = {(p, self.cb[y]): i for p, x in self.peers.items() for i, y in enumerate(x.nodes)}
+        self.column = [where[x] for x in zip(self.pb, self.cb, strict=True)]
+        for x in self.peers.values():
+            x.place(self.kb, self.pb, self.column)
+        self.pa = _numbered(self.la, self.ka, paths)
+        first: dict[tuple[int, int], int] = {}
+        self.like = [first.setdefault(x, i) for i, x in enumerate(zip(self.pa, self.ca, strict=True))]
+        self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.n_kept = 0
+
+    def middle(self, x: int, y: int) -> tuple[int, int, int]:
+        """How many children at the front are equal, and where those end that aren't
+        equal at the back. Equal subtrees at either end are in a largest match."""
+        xs, ys = self.ka[x], self.kb[y]
+        n, front = min(len(xs), len(ys)), 0
+        while front < n and self.ca[xs[front]] == self.cb[ys[front]]:
+            front += 1
+        back = 0
+        while back < n - front and self.ca[xs[-1 - back]] == self.cb[ys[-1 - back]]:
+            back += 1
+        return front, len(xs) - back, len(ys) - back
+
+    def columns(self, ys: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Per path the places of nodes of b, from 1 on, and their columns."""
+        at: dict[int, tuple[list[int], list[int]]] = {}
+        for i, k in enumerate(ys, 1):
+            places, columns = at.setdefault(self.pb[k], ([], []))
+            places.append(i)
+            columns.append(self.column[k])
+        return {p: (np.array(x), np.array(c)) for p, (x, c) in at.items()}
+
+    def weigh(self, x: int):
+        """A step for each weight it asks for; returns those of x with its peers."""
+        peers, xs = self.peers[self.pa[x]], self.ka[x]
+        n = len(peers.nodes)
+        out = np.ones(n, np.int32)
+        if not xs or not peers.at:
+            return out
+        together = bisect.bisect_right(peers.sizes, OWN_PAIRS // len(xs)) if n > 4 else 0
+        far = self.size[self.ca[x]] + 1
+        stop = int(peers.starts[together])
+        sums = peers.segment[:stop] * far
+        own = []
+        for i in range(together, n):
+            y = peers.nodes[i]
+            front, end, last = self.middle(x, y)
+            out[i] += sum(self.size[self.ca[k]] for k in (*xs[:front], *xs[end:]))
+            if front < end and front < last:
+                own.append((i, front, end, self.columns(self.kb[y][front:last]), np.zeros(last - front + 1, np.int32)))
+        for i, k in enumerate(xs):
+            p, row = self.pa[k], None
+            todo = [(at[p], best) for _, front, end, at, best in own if front <= i < end and p in at]
+            if together and p in peers.at:
+                places, columns = peers.at[p]
+                m = int(np.searchsorted(places, stop))
+                if m:
+                    todo.append(((places[:m], columns[:m]), sums))
+            for (places, columns), best in todo:
+                if row is None:
+                    row = yield self.like[k]
+                best[places] = np.maximum(best[places], best[places - 1] + row[columns])
+                np.maximum.accumulate(best, out=best)
+        if together:
+            out[:together] += (sums[peers.starts[1 : together + 1] - 1] - np.arange(together) * far).astype(np.int32)
+        for i, _, _, _, best in own:
+            out[i] += best[-1]
+        return out
+
+    def weights(self, x: int) -> np.ndarray:
+        """Of the subtree x of a with each of its peers."""
+        x, row = self.like[x], None
+        stack = [] if x in self.kept else [(x, self.weigh(x))]
+        while stack:
+            try:
+                k = stack[-1][1].send(row)
+            except StopIteration as done:
+                row = done.value
+                self.keep(stack.pop()[0], row)
+                continue
+            row = self.kept.get(k)
+            if row is None:
+                stack.append((k, self.weigh(k)))
+            else:
+                self.kept.move_to_end(k)
+        return self.kept[x] if row is None else row
+
+    def keep(self, x: int, row: np.ndarray) -> None:
+        self.kept[x] = row
+        self.n_kept += len(row) + 32  # an array of its own
+        while self.n_kept > KEPT_WEIGHTS and len(self.kept) > 1:
+            self.n_kept -= len(self.kept.popitem(last=False)[1]) + 32
+
+    def pairs(self, x: int, y: int) -> list[tuple[int, int]]:
+        """The children of x and y that a largest match has together. Sums of every
+        so many children are kept, those between them are made again."""
+        front, end, last = self.middle(x, y)
+        xs, ys = self.ka[x], self.kb[y]
+        out = [*zip(xs[:front], ys[:front], strict=True), *zip(xs[end:], ys[last:], strict=True)]
+        xs, ys = xs[front:end], ys[front:last]
+        if not xs or not ys:
+            return out
+        if len(xs) == len(ys) == 1:
+            return out + [(k, q) for k, q in zip(xs, ys, strict=True) if self.pa[k] == self.pb[q]]
+        at = self.columns(ys)
+
+        def after(best: np.ndarray, k: int) -> np.ndarray:
+            if self.pa[k] not in at:
+                return best
+            places, columns = at[self.pa[k]]
+            made = best.copy()
+            made[places] = np.maximum(best[places], best[places - 1] + self.weights(k)[columns])
+            return np.maximum.accumulate(made, out=made)
+
+        step = max(16, int(len(xs) ** 0.5))
+        best, saved = np.zeros(len(ys) + 1, np.int32), []
+        for i, k in enumerate(xs):
+            if i % step == 0:
+                saved.append(best)
+            best = after(best, k)
+        j = len(ys)
+        for n in range(len(saved) - 1, -1, -1):
+            part = xs[n * step : (n + 1) * step]
+            rows = [saved.pop()[: j + 1]]
+            at = self.columns(ys[:j])
+            for k in part:
+                rows.append(after(rows[-1], k))
+            i = len(part)
+            while i and j:
+                k, q = part[i - 1], ys[j - 1]
+                w = int(self.weights(k)[self.column[q]]) if self.pa[k] == self.pb[q] else 0
+                if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                    i, j = i - 1, j - 1
+                    out.append((k, q))
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out
+
+
 def align(a: str, b: str) -> list[int]:
     """Simple tree matching: for each node of structure a, the node of b that it is
-    matched with in a largest top-down, order-preserving match, or -1. Equal subtrees are
-    weighed once. Beyond ``MAX_STEPS`` steps nodes of one label weigh 1, and each child
-    matches with the next of its label, so the match is still top-down and
-    order-preserving but may not be the largest."""
-    la, ka = _children(a)
+    matched with in a largest top-down, order-preserving match, or -1. Equal subtrees at
+    a path are weighed once. It is a largest match whatever the trees' sizes; its time
+    goes with the product of the numbers of their subtrees that differ."""
     if a == b:
-        return list(range(len(la)))
-    lb, kb = _children(b)
-    known: dict = {}
-    ca, cb = _classes(la, ka, known), _classes(lb, kb, known)
-    size = [0] * len(known)
-    label, below = [""] * len(known), [()] * len(known)
-    for (name, ks), c in known.items():  # classes of children come first
-        size[c], label[c], below[c] = 1 + sum(size[k] for k in ks), name, ks
-    steps = [MAX_STEPS]
-
-    def tables(x: int, y: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Weights of the pairs of the children of classes x and y, the best sums, and
-        how many children at the front are equal and matched as they are."""
-        xs, ys, front = below[x], below[y], 0
-        while front < min(len(xs), len(ys)) and xs[front] == ys[front]:
-            front += 1
-        xs, ys = xs[front:], ys[front:]
-        ux, ix = np.unique(np.array(xs, np.int64), return_inverse=True)
-        uy, iy = np.unique(np.array(ys, np.int64), return_inverse=True)
-        w = np.array([[memo.get((p, q), 0) if p != q else size[p] for q in uy.tolist()] for p in ux.tolist()], np.int64).reshape(len(ux), len(uy))[ix][:, iy]
-        m = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
-        for i in range(len(xs)):
-            m[i + 1, 1:] = np.maximum.accumulate(np.maximum(m[i, 1:], m[i, :-1] + w[i]))
-        return w, m, front
-
-    memo: dict[tuple[int, int], int] = {}
-
-    def weigh(x: int, y: int) -> None:
-        todo = [(x, y)]
-        while todo:
-            p, q = todo[-1]
-            if (p, q) in memo or p == q or label[p] != label[q]:
-                todo.pop()
-                continue
-            cells = len(below[p]) * len(below[q])
-            if steps[0] < cells:
-                memo[p, q] = 1
-                todo.pop()
-                continue
-            open_ = [] if (p, q) in asked else [(r, t) for r in set(below[p]) for t in set(below[q]) if r != t and label[r] == label[t] and (r, t) not in memo]
-            asked.add((p, q))
-            if open_:
-                todo += open_
-                continue
-            steps[0] -= cells + 1
-            _, m, front = tables(p, q)
-            memo[p, q] = int(m[-1, -1]) + 1 + sum(size[k] for k in below[p][:front])
-            exact.add((p, q))
-            todo.pop()
-
-    asked: set[tuple[int, int]] = set()
-    exact: set[tuple[int, int]] = set()
-    out = [-1] * len(la)
-    todo = []
-    if la[0] == lb[0]:
-        weigh(ca[0], cb[0])
-        todo.append((0, 0))
+        return list(range(a.count("\n") + 1))
+    m = _Match(a, b)
+    out = [-1] * len(m.la)
+    todo = [(0, 0)] if m.la[0] == m.lb[0] else []
     while todo:
         x, y = todo.pop()
         out[x] = y
-        if ca[x] == cb[y]:
-            todo += zip(ka[x], kb[y], strict=True)
-            continue
-        if (ca[x], cb[y]) not in exact:
-            where: dict[str, list[int]] = {}
-            for q in kb[y]:
-                where.setdefault(lb[q], []).append(q)
-            last = -1
-            for p in ka[x]:
-                later = where.get(la[p], ())
-                k = bisect.bisect_right(later, last)
-                if k < len(later):
-                    last = later[k]
-                    todo.append((p, last))
-            continue
-        w, m, front = tables(ca[x], cb[y])
-        todo += zip(ka[x][:front], kb[y][:front], strict=True)
-        xs, ys = ka[x][front:], kb[y][front:]
-        i, j = len(xs), len(ys)
-        while i and j:
-            if w[i - 1, j - 1] and m[i, j] == m[i - 1, j - 1] + w[i - 1, j - 1]:
-                i, j = i - 1, j - 1
-                todo.append((xs[i], ys[j]))
-            elif m[i, j] == m[i - 1, j]:
-                i -= 1
-            else:
-                j -= 1
+        todo += zip(m.ka[x], m.kb[y], strict=True) if m.ca[x] == m.cb[y] else m.pairs(x, y)
     return out
 
 

@@ -574,6 +574,32 @@ def test_tree_matching_is_the_largest():
         assert len(hit) == brute(la, ka, lb, kb) and all(la[x] == lb[y] and (not x or m[above_a[x]] == above_b[y]) for x, y in hit)
 
 
+def test_large_trees_match_as_small_ones(monkeypatch):
+    # 2,100 children that all differ, one more at either end of b: all of a has a partner
+    bits = lambda i: [f"{'ul' if i >> k & 1 else 'section'}" for k in range(12)]
+    kids = [["div", *bits(i)] for i in range(2_100)]
+
+    def structure(kids):
+        out = ["-1 html"]
+        for head, *below in kids:
+            at = len(out)
+            out += [f"0 {head}", *(f"{at} {x}" for x in below)]
+        return "\n".join(out)
+
+    a, b = structure(kids), structure([["div"], *kids, ["div"]])
+    assert wrapper_induction.align(a, b) == [0, *range(2, a.count("\n") + 2)]
+    assert wrapper_induction.align(a, b.replace("html", "body")) == [-1] * (a.count("\n") + 1)
+    # neither what is kept nor what is weighed together makes a difference
+    r = __import__("random").Random(7)
+    some = lambda: wrapper_induction.Page("<body>" + "".join(r.choice(["<div>", "<ul>", "<section class=x>", "</div>", "</ul>", "</section>"]) for _ in range(r.randint(0, 150)))).structure()
+    cases = [(some(), some()) for _ in range(40)]
+    want = [wrapper_induction.align(*x) for x in cases]
+    for kept, own in ((1, 1 << 16), (200, 30), (1 << 24, 0)):
+        monkeypatch.setattr(wrapper_induction, "KEPT_WEIGHTS", kept)
+        monkeypatch.setattr(wrapper_induction, "OWN_PAIRS", own)
+        assert [wrapper_induction.align(*x) for x in cases] == want
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
