@@ -216,23 +216,21 @@ def _numbered(labels: list[str], kids: list[list[int]], known: dict) -> list[int
 
 class _Peers:
     """The distinct subtrees of one tree at one path, those of fewest children first.
-    Their children stand in a row, each subtree's after a free place."""
+    Their children stand in a row, each subtree's after a free place; at: their places by
+    path, and their columns among their own peers."""
 
-    def __init__(self, nodes: list[int], kids: list[list[int]]):
-        self.nodes = sorted(nodes, key=lambda y: len(kids[y]))
-        self.sizes = [len(kids[y]) for y in self.nodes]
+    def __init__(self, nodes: list[int], kids: list[list[int]], path: list[int], column: list[int]):
+        self.nodes = nodes
+        self.sizes = [len(kids[y]) for y in nodes]
         self.starts = np.cumsum([0] + [n + 1 for n in self.sizes])
-
-    def place(self, kids: list[list[int]], path: list[int], column: list[int]) -> None:
-        """The places of children by path, and their columns among their own peers."""
+        self.segment = np.repeat(np.arange(len(nodes)), np.diff(self.starts))
         at: dict[int, tuple[list[int], list[int]]] = {}
-        for start, y in zip(self.starts.tolist(), self.nodes, strict=False):
+        for start, y in zip(self.starts.tolist(), nodes, strict=False):
             for i, k in enumerate(kids[y], start + 1):
                 places, columns = at.setdefault(path[k], ([], []))
                 places.append(i)
                 columns.append(column[k])
         self.at = {p: (np.array(x), np.array(c)) for p, (x, c) in at.items()}
-        self.segment = np.repeat(np.arange(len(self.nodes)), np.diff(self.starts))
 
 
 class _Match:
@@ -250,16 +248,20 @@ class _Match:
             self.size[c] = 1 + sum(self.size[k] for k in ks)
         paths: dict = {}
         self.pb = _numbered(self.lb, self.kb, paths)
-        nodes: dict[int, dict[int, int]] = {}
-        for y, (p, c) in enumerate(zip(self.pb, self.cb, strict=True)):
-            nodes.setdefault(p, {}).setdefault(c, y)
-        self.peers = {p: _Peers(list(x.values()), self.kb) for p, x in nodes.items()}
-        where = {(p, self.cb[y]): i for p, x in self.peers.items() for i, y in enumerate(x.nodes)}
-        self.column = [where[x] for x in zip(self.pb, self.cb, strict=True)]
-        for x in self.peers.values():
-            x.place(self.kb, self.pb, self.column)
-        self.pa = _numbered(self.la, self.ka, paths)
         first: dict[tuple[int, int], int] = {}
+        like = [first.setdefault(x, i) for i, x in enumerate(zip(self.pb, self.cb, strict=True))]
+        self.nodes: dict[int, list[int]] = {}
+        for y in first.values():
+            self.nodes.setdefault(self.pb[y], []).append(y)
+        place = [0] * len(self.lb)
+        for x in self.nodes.values():
+            x.sort(key=lambda y: len(self.kb[y]))
+            for i, y in enumerate(x):
+                place[y] = i
+        self.column = [place[y] for y in like]
+        self.peers: dict[int, _Peers] = {}
+        self.pa = _numbered(self.la, self.ka, paths)
+        first = {}
         self.like = [first.setdefault(x, i) for i, x in enumerate(zip(self.pa, self.ca, strict=True))]
         self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
         self.n_kept = 0
@@ -287,7 +289,10 @@ class _Match:
 
     def weigh(self, x: int):
         """A step for each weight it asks for; returns those of x with its peers."""
-        peers, xs = self.peers[self.pa[x]], self.ka[x]
+        p, xs = self.pa[x], self.ka[x]
+        if p not in self.peers:
+            self.peers[p] = _Peers(self.nodes[p], self.kb, self.pb, self.column)
+        peers = self.peers[p]
         n = len(peers.nodes)
         out = np.ones(n, np.int32)
         if not xs or not peers.at:
