@@ -700,3 +700,27 @@ def test_byte_bpe(spark, docs, empty):
         x = "".join(chr(c) for c in r.choice([32, 10, 9, 160, 0x2028, 97, 98, 0x1F600, 0x300, 48, 33, 39, 0, 13], 40))
         ids = t.encode_ordinary(x)
         assert coder.encoded(x) == (len(ids), ",".join(map(str, ids)), x.encode())
+
+
+def test_byte_bpe_merges_words_together(monkeypatch):
+    """Distinct words aren't searched one by one, and results don't depend on where blocks end."""
+    import pyarrow as pa
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    t, coder, r = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.BytePairs(RANKS, PATTERN), np.random.default_rng(2)
+    syllables = ["th", "er", "ing", "é", "tion", "日本", "ß", "'s", "7", " ", " ", " ", "\n", "  ", "\u3000", "!"]
+    texts = ["".join(r.choice(syllables, 400)) for _ in range(60)] + ["", None, "a" * 3000, " "]
+    want = [t.encode_ordinary(x or "") for x in texts]
+    one_by_one, encode_bytes = [], coder.encode_bytes
+    monkeypatch.setattr(coder, "encode_bytes", lambda w: one_by_one.append(w) or encode_bytes(w))
+    words = " ".join("".join(r.choice(["th", "er", "ing", "on", "ble", "wh"], 6)) for _ in range(20_000))
+    assert coder.encoded(words)[1] == ",".join(map(str, t.encode_ordinary(words))) and len(one_by_one) < 200
+    for block in (bpe.BLOCK, 70):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        got = [(b"", b"") for _ in texts]
+        for i, n, ids, back in coder.portions(pa.array(["", *texts], pa.string())[1:]):
+            assert bytes(ids).count(b",") == n
+            got[i] = got[i][0] + ids, got[i][1] + back
+        assert got == [("".join(f",{i}" for i in x).encode(), (y or "").encode()) for x, y in zip(want, texts, strict=True)]
