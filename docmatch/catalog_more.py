@@ -332,9 +332,8 @@ UNION ALL SELECT '24_page_section_count:Some(' || lo || '):Some(' || hi || ')',
 def i04_learn_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of HTML documents: the commonest first heading, page sections, table widths."""
     observed = learn.observe(C.table_docs(spark, sf_dir), "html")
-    found = learn.candidates(observed, "html", observed.count())
     kinds = ("filename_regex", "heading_exists", "page_section_count", "dominant_column_count")
-    return _learned(spark, [c for c in found if c.assertion.kind in kinds]).select("key", "support")
+    return _learned(spark, learn.candidates(observed, "html", None, kinds=kinds)).select("key", "support")
 
 
 @query("WITH {GRID}, f AS (SELECT DISTINCT doc_id, CASE b WHEN 'R' THEN a || ' returned' ELSE 'open' END AS v FROM li WHERE b IN ('R', 'N')) SELECT v AS text, COUNT(*) AS support FROM f GROUP BY v")
@@ -548,8 +547,7 @@ def w04_conditional_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT '21_header_token_search:Some(' || page || '):Some(0):["(?i)Line", "(?i)' || CASE WHEN page = 2 THEN 'Flag' ELSE 'Return Flag' END || '"]' AS key, n AS support FROM t""")
 def g14_header_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = learn.observe(C.table_docs(spark, sf_dir), "html")
-    found = learn.candidates(observed, "html", observed.count())
-    return _learned(spark, [c for c in found if c.assertion.kind == "header_token_search"]).select("key", "support")
+    return _learned(spark, learn.candidates(observed, "html", None, kinds=("header_token_search",))).select("key", "support")
 
 
 # Registry: nations (25) as definitions of their region's provider

@@ -33,7 +33,7 @@ def trim_end(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return trim(text) == ""
+    return ~text.rlike(r"\P{IsWhite_Space}")
 
 
 def collapse(text: Column) -> Column:
@@ -162,7 +162,8 @@ def stem(path: Column) -> Column:
 
 def scalar_text(text: Column) -> Column:
     """Control characters as spaces, then collapsed."""
-    return collapse(F.regexp_replace(text, r"\p{Cc}", " "))
+    odd = text.rlike(rf"\p{{Cc}}|^{WS}|{WS}\z|{WS}{{2}}|(?! ){WS}")
+    return F.when(odd, collapse(F.regexp_replace(text, r"\p{Cc}", " "))).otherwise(text)
 
 
 def a1(row: Column, col: Column) -> Column:

@@ -7,6 +7,7 @@ bounds, not the documents."""
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 from typing import Any
 
@@ -67,10 +68,12 @@ def observe(docs: DataFrame, format: str) -> DataFrame:
         "view.tables",
         lambda t, i: F.struct(
             t["page"].alias("page"), A.table_width(t).alias("columns"), F.filter(F.transform(t["headers"], S.scalar_text), lambda h: h != "").alias("headers"),
-            F.filter(F.transform(t["rows"], full_row), lambda x: x.isNotNull()).alias("full_rows"), i.alias("pos"),
+            i.alias("pos"),
         ),
     )
-    return base.select(*keep, F.transform("view.headings", lambda h: h["text"]).alias("headings"), F.col("view.page_sections").cast("long").alias("page_sections"), page_local(tables).alias("tables"))
+    # a column of its own, as next to nothing asks for it
+    full_rows = F.transform("view.tables", lambda t: F.filter(F.transform(t["rows"], full_row), lambda x: x.isNotNull()))
+    return base.select(*keep, F.transform("view.headings", lambda h: h["text"]).alias("headings"), F.col("view.page_sections").cast("long").alias("page_sections"), page_local(tables).alias("tables"), full_rows.alias("full_rows"))
 
 
 def full_row(row: Column) -> Column:
@@ -81,8 +84,12 @@ def full_row(row: Column) -> Column:
 
 def page_local(tables: Column) -> Column:
     """Adds the index of a table among those of its page."""
-    before = lambda t: F.filter(tables, lambda x: x["page"].eqNullSafe(t["page"]) & (x["pos"] < t["pos"]))
-    return F.transform(tables, lambda t: F.struct(t["page"].alias("page"), t["columns"].alias("columns"), t["headers"].alias("headers"), t["full_rows"].alias("full_rows"), F.size(before(t)).alias("page_index"), t["pos"].alias("pos")))
+
+    def placed(all_: Column) -> Column:
+        before = lambda t: F.filter(all_, lambda x: x["page"].eqNullSafe(t["page"]) & (x["pos"] < t["pos"]))
+        return F.transform(all_, lambda t: F.struct(t["page"].alias("page"), t["columns"].alias("columns"), t["headers"].alias("headers"), F.size(before(t)).alias("page_index"), t["pos"].alias("pos")))
+
+    return S.let(tables, placed)
 
 
 # Supports
@@ -102,9 +109,11 @@ def dominant_largest(values: Column) -> Column:
     return F.array_max(counted)["w"]
 
 
-def candidates(observed: DataFrame, format: str, total: int, least: float = 0.0) -> list[Candidate]:
+def candidates(observed: DataFrame, format: str, total: int | None, least: float = 0.0, kinds: Collection[str] | None = None) -> list[Candidate]:
     """Facts in at least the share ``least`` of the documents: rarer ones aren't
-    collected, so the driver gets at most their number per document divided by it."""
+    collected, so the driver gets at most their number per document divided by it.
+    HTML facts can be limited to some kinds of assertions, and are counted with their
+    total (None) in the pass that counts them."""
     out: list[Candidate] = []
     common_ones = lambda df: df.where(F.col("n") / F.lit(total) + F.lit(EPSILON) >= F.lit(float(least))).collect()
     add = lambda kind, n, **p: out.append(Candidate(Assertion(kind, {("" if k == "text" else k): v for k, v in p.items()}), int(n), total))
@@ -134,7 +143,13 @@ def candidates(observed: DataFrame, format: str, total: int, least: float = 0.0)
         for r in common_ones(support(observed, F.col("info"), "key", "value")):
             add("metadata_regex", r["n"], key=r["key"], pattern=f"^{escape(r['value'])}$")
     else:
-        _html_candidates(observed, add, total)
+        counted = html_facts(observed, kinds).persist()  # read by every support
+        try:
+            if total is None:
+                total = int(counted.agg(F.sum("n")).first()[0] or 0)
+            _html_candidates(observed, counted, add, total, kinds)
+        finally:
+            counted.unpersist()
     return out
 
 
@@ -144,40 +159,68 @@ def first_headings(observed: DataFrame) -> DataFrame:
     return first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "h")
 
 
-def width_mode(widths: DataFrame) -> DataFrame:
-    """widths: w, one per document. One row: ``w`` (the most frequent, of several the
-    largest), ``tolerance`` (the largest distance from it) and ``n`` documents."""
-    counts = widths.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def width_mode(widths: DataFrame, documents: Column | None = None) -> DataFrame:
+    """widths: w of one document, or of so many. One row: ``w`` (the most frequent, of
+    several the largest), ``tolerance`` (the largest distance from it) and ``n`` documents."""
+    counts = widths.where("w is not null").groupBy("w").agg(F.sum(F.lit(1) if documents is None else documents).alias("n"))
     one = counts.agg(F.max(F.struct("n", "w"))["w"].alias("w"), F.max("w").alias("hi"), F.min("w").alias("lo"), F.sum("n").alias("n"))
     return one.select("w", F.greatest(F.col("hi") - F.col("w"), F.col("w") - F.col("lo")).alias("tolerance"), "n")
 
 
-def _html_candidates(observed: DataFrame, add, total: int) -> None:
-    add("filename_regex", total, pattern=r"(?i).*\.html?$")
-    first = first_headings(observed).first()
-    if first:
-        add("heading_exists", first["n"], text=first["h"])
-    pages = observed.where("page_sections > 0").agg(F.min("page_sections").alias("lo"), F.max("page_sections").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if pages["n"]:
-        add("page_section_count", pages["n"], min=int(pages["lo"]), max=int(pages["hi"]))
-    widths = observed.select(dominant_largest(F.filter(F.transform("tables", lambda t: t["columns"]), lambda w: w > 0)).alias("w"))
-    mode = width_mode(widths).first()
-    if mode["w"] is not None:
-        sample = observed.agg(F.max("page_sections")).first()[0]
-        add("dominant_column_count", mode["n"], count=mode["w"], tolerance=mode["tolerance"], sample_pages=int(sample if sample is not None else 1))
-    # the table with most telling headers of each document, then the modal place of it
+def html_facts(observed: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
+    """The facts of HTML documents that these kinds need (null for others), each
+    combination once with its documents ``n`` and the first of them, ``ord``: one pass
+    over the documents, whatever is asked of it."""
+    only = lambda kind, column, type_: (column if _wants(kinds, kind) else F.lit(None)).cast(type_)
+    sections = "dominant_column_count" if _wants(kinds, "dominant_column_count") else "page_section_count"
+    widths = F.filter(F.transform("tables", lambda t: t["columns"]), lambda w: w > 0)
+    # the table with most telling headers of each document
     telling = lambda t: F.filter(t["headers"], lambda h: ~S.ascii_lower(S.trim(h)).isin(*GENERIC))
-    best = F.array_max(F.filter(F.transform("tables", lambda t: F.struct(F.size(telling(t)).alias("n"), F.coalesce(t["page"], F.lit(-1)).alias("page"), t["columns"].alias("c"), (-t["page_index"]).alias("less"), t["pos"].alias("pos"), telling(t).alias("tokens"))), lambda x: x["n"] > 0))
-    b = observed.select("ord", best.alias("b")).where("b is not null").select("ord", "b.page", (-F.col("b.less")).alias("index"), "b.tokens")
-    place = b.groupBy("page", "index").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("page"), F.desc("index")).first()
-    if place:
-        mine = b.where((F.col("page") == place["page"]) & (F.col("index") == place["index"]))
-        counts = mine.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.agg(F.max("n")).first()[0]
-        exemplar = mine.orderBy("ord").select(F.posexplode("tokens").alias("i", "t"), "ord").where(F.col("ord") == mine.agg(F.min("ord")).first()[0])
-        tokens = [r["t"] for r in exemplar.join(counts.where(F.col("n") == top), "t").orderBy("i").limit(2).collect()]
-        add("header_token_search", place["n"], page=None if place["page"] < 0 else place["page"], index=place["index"], tokens=[f"(?i){escape(t)}" for t in tokens], min_matches=len(tokens), max_matches=None)
-    rows = observed.select("ord", F.posexplode("tables").alias("ti", "t")).select("ord", "ti", "t.columns", F.posexplode_outer("t.full_rows").alias("ri", "row"))
+    told = F.transform("tables", lambda t: F.struct(telling(t).alias("tokens"), t.alias("t")))
+    best = F.array_max(F.filter(F.transform(told, lambda x: F.struct(F.size(x["tokens"]).alias("n"), F.coalesce(x["t"]["page"], F.lit(-1)).alias("page"), x["t"]["columns"].alias("c"), (-x["t"]["page_index"]).alias("less"), x["t"]["pos"].alias("pos"), x["tokens"].alias("tokens"))), lambda x: x["n"] > 0))
+    facts = observed.select(
+        "ord", only("heading_exists", F.try_element_at("headings", F.lit(1)), "string").alias("h"), only(sections, F.col("page_sections"), "long").alias("page_sections"),
+        only("dominant_column_count", S.let(widths, dominant_largest), "int").alias("w"), only("header_token_search", best, "struct<n:int,page:int,c:int,less:int,pos:int,tokens:array<string>>").alias("b"),
+    )
+    facts = facts.select("ord", "h", "page_sections", "w", "b.page", (-F.col("b.less")).alias("index"), "b.tokens")
+    return facts.groupBy("h", "page_sections", "w", "page", "index", "tokens").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+
+
+def _wants(kinds: Collection[str] | None, kind: str) -> bool:
+    return kinds is None or kind in kinds
+
+
+def _html_candidates(observed: DataFrame, counted: DataFrame, add, total: int, kinds: Collection[str] | None) -> None:
+    if _wants(kinds, "filename_regex"):
+        add("filename_regex", total, pattern=r"(?i).*\.html?$")
+    if _wants(kinds, "heading_exists"):
+        first = counted.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").first()
+        if first:
+            add("heading_exists", first["n"], text=first["h"])
+    if _wants(kinds, "page_section_count"):
+        pages = counted.where("page_sections > 0").agg(F.min("page_sections").alias("lo"), F.max("page_sections").alias("hi"), F.sum("n").alias("n")).first()
+        if pages["n"]:
+            add("page_section_count", pages["n"], min=int(pages["lo"]), max=int(pages["hi"]))
+    mode = width_mode(counted, F.col("n")).first() if _wants(kinds, "dominant_column_count") else None
+    if mode and mode["w"] is not None:
+        sample = counted.agg(F.max("page_sections")).first()[0]
+        add("dominant_column_count", mode["n"], count=mode["w"], tolerance=mode["tolerance"], sample_pages=int(sample if sample is not None else 1))
+    if _wants(kinds, "header_token_search"):
+        # the modal place of the tables chosen, and the headers most have there
+        b = counted.where("tokens is not null")
+        place = b.groupBy("page", "index").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("page"), F.desc("index")).first()
+        if place:
+            mine = b.where((F.col("page") == place["page"]) & (F.col("index") == place["index"]))
+            counts = mine.select("n", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.sum("n").alias("n"))
+            exemplar = mine.agg(F.min(F.struct("ord", "tokens"))["tokens"]).first()[0]
+            most = counts.agg(F.max("n").alias("top"))
+            common = {r["t"] for r in counts.where(F.col("t").isin(exemplar)).join(F.broadcast(most), F.col("n") == F.col("top")).select("t").collect()}
+            tokens = [t for t in exemplar if t in common][:2]
+            add("header_token_search", place["n"], page=None if place["page"] < 0 else place["page"], index=place["index"], tokens=[f"(?i){escape(t)}" for t in tokens], min_matches=len(tokens), max_matches=None)
+    if not _wants(kinds, "full_width_row"):
+        return
+    tables = F.transform("tables", lambda t, i: F.struct(t["columns"].alias("columns"), F.try_element_at("full_rows", i + 1).alias("full_rows")))
+    rows = observed.select("ord", F.posexplode(tables).alias("ti", "t")).select("ord", "ti", "t.columns", F.posexplode_outer("t.full_rows").alias("ri", "row"))
     widest = rows.agg(F.max("columns")).first()[0]
     per_row = rows.where("row is not null").groupBy("row").agg(F.count_distinct("ord").alias("n"), F.min(F.struct("ord", "ti", "ri")).alias("seen"))
     top = per_row.agg(F.max("n")).first()[0]

@@ -9,6 +9,7 @@ from docmatch.functions.blake3 import blake3_hex
 from docmatch.functions.regexlang import RegexError, compile_python, escape, glob_to_regex, to_java
 from docmatch.operators import assertions as A
 from docmatch.operators import hybrid, learn, ledger, struct_check
+from docmatch.operators import structure as learn_view
 from docmatch.operators.extract import content_hash
 from docmatch.plans import compiled
 from docmatch.plans import definitions as D
@@ -130,6 +131,31 @@ def test_learn_html_and_match_again(spark, tmp_path):
     assert all(r.matched for r in got) and len({r.content_hash for r in got}) == 1
 
 
+def test_learn_html_reads_documents_once(spark):
+    title = lambda i: "Top" if i % 3 else "Other"
+    rows = [(f"d{i:02}.html", "html", None, ([(1, title(i), 1)], [(title(i), 0, 1, 3, i % 2 + 1, ["Vessel", " Flag\t State", "Cost"] if i % 4 else ["Vessel"], [["a", "a"], ["b", "\u2003"]])], i % 3)) for i in range(20)]
+    view = f"struct<headings:array<{learn_view.HEADING}>,tables:array<{learn_view.TABLE}>,page_sections:int>"
+    docs = spark.createDataFrame(rows, f"path string, kind string, error string, view {view}")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    observed = learn.observe(docs.mapInArrow(counted, docs.schema), "html")
+    kinds = ("heading_exists", "header_token_search", "dominant_column_count", "page_section_count")
+    found = {c.assertion.kind: c for c in learn.candidates(observed, "html", None, kinds=kinds)}
+    assert read.value == len(rows) and set(found) == set(kinds) and all(c.total == 20 for c in found.values())
+    assert found["heading_exists"].assertion[""] == "Top" and found["heading_exists"].support == 13 and found["page_section_count"].support == 13
+    search = found["header_token_search"]
+    assert search.support == 10 and search.assertion["tokens"] == ["(?i)Vessel", "(?i)Flag State"] and search.assertion["page"] == 2
+    assert found["dominant_column_count"].assertion["count"] == 3 and found["dominant_column_count"].assertion["tolerance"] == 1
+    # all kinds at once give the same, and full-width rows besides
+    again = {c.assertion.kind: c for c in learn.candidates(observed, "html", 20)}
+    assert all(again[k] == found[k] for k in kinds) and again["full_width_row"].assertion["pattern"] == "(?i)^(a|b)$"
+
+
 def test_learn_csv_and_errors(spark, tmp_path):
     folder = _folder(tmp_path, {"a.csv": "Name,Area\nx,1\n", "b.csv": "Name,Size\ny,2\nz,3\n", "ragged.csv": "a,b\n1\n"})
     docs = _docs(spark, folder, ("csv",))
