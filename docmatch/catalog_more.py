@@ -23,54 +23,55 @@ from .sources import pdf
 # Markdown that has to be made normal first
 
 
-def made_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_markdown(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Orders as markdown with an underlined title, a bold heading and a table whose cells
-    are padded unevenly; parsed."""
+    are padded unevenly; parsed, with these parts of the view."""
     o = C.order_docs(spark, sf_dir).select("doc_id", "data")
     row = lambda r: F.concat(F.lit("|"), F.array_join(F.transform(F.slice(r, 1, 3), lambda x, i: F.concat(F.repeat(F.lit(" "), i.cast("int")), x, F.lit(" "))), "|"), F.lit("|"))
     title = F.concat(F.lit("Order "), F.col("doc_id"))
     mark = F.when(F.col("doc_id") % 2 == 0, "=").otherwise("-")
     text = F.concat(title, F.lit("\n"), F.repeat(mark, F.length(title) + (F.col("doc_id") % 3).cast("int")), F.lit("\n\n\n\n**Lines of "), F.col("doc_id"), F.lit("**\n\n|Line|Flag|Status|\n|---|---|---|\n"), F.array_join(F.transform("data", row), "\n"), F.lit("\n\nend  \n"))
-    return structure.with_view(o.select("doc_id", F.lit("markdown").alias("kind"), text.alias("text")), "kind", "text")
+    return structure.with_view(o.select("doc_id", F.lit("markdown").alias("kind"), text.alias("text")), "kind", "text", parts=parts)
 
 
 @query("WITH {GRID} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS level, 'Order ' || doc_id AS text, 1::BIGINT AS line FROM docs")
 def n01_setext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = made_markdown(spark, sf_dir).select("doc_id", F.element_at("view.headings", 1).alias("h"))
+    h = made_markdown(spark, sf_dir, "headings").select("doc_id", F.element_at("view.headings", 1).alias("h"))
     return h.select("doc_id", F.col("h.level").cast("long").alias("level"), "h.text", F.col("h.line").cast("long").alias("line"))
 
 
 @query("WITH {GRID} SELECT doc_id, 2::BIGINT AS level, 'Lines of ' || doc_id AS text, 3::BIGINT AS line, 2::BIGINT AS n FROM docs")
 def n02_bold_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = made_markdown(spark, sf_dir).select("doc_id", F.element_at("view.headings", 2).alias("h"), F.size("view.headings").cast("long").alias("n"))
+    h = made_markdown(spark, sf_dir, "headings").select("doc_id", F.element_at("view.headings", 2).alias("h"), F.size("view.headings").cast("long").alias("n"))
     return h.select("doc_id", F.col("h.level").cast("long").alias("level"), "h.text", F.col("h.line").cast("long").alias("line"), "n")
 
 
 @query("""WITH {GRID}, rows_ AS (SELECT doc_id, string_agg(' | ' || a || ' | ' || b || ' | ' || c || ' | ', chr(10) ORDER BY r) AS body FROM li GROUP BY doc_id)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '## ' END || 'Order ' || doc_id || chr(10) || chr(10) || '## Lines of ' || doc_id || chr(10) || chr(10) || ' | Line | Flag | Status | ' || chr(10) || ' | --- | --- | --- | ' || chr(10) || body || chr(10) || chr(10) || 'end' AS normalized FROM rows_""")
 def n04_table_pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made_markdown(spark, sf_dir).select("doc_id", F.col("view.normalized").alias("normalized"))
+    return made_markdown(spark, sf_dir, "normalized").select("doc_id", F.col("view.normalized").alias("normalized"))
 
 
 @query("WITH {GRID} SELECT doc_id, CAST(r - 1 AS BIGINT) AS row, a || ',' || b || ',' || c AS cells, 'Line,Flag,Status' AS headers FROM li")
 def n07_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = made_markdown(spark, sf_dir).select("doc_id", F.element_at("view.tables", 1).alias("t"))
-    x = t.select("doc_id", F.array_join("t.headers", ",").alias("headers"), F.posexplode("t.rows").alias("i", "cells"))
+    t = made_markdown(spark, sf_dir, "tables").select("doc_id", F.element_at("view.tables", 1).alias("t"))
+    x = t.select("doc_id", F.array_join("t.headers", ",").alias("headers"), F.posexplode_outer("t.rows").alias("i", "cells")).where("i is not null")  # outer, as in j03_children
     return x.select("doc_id", (F.col("i") + 1).cast("long").alias("row"), F.array_join("cells", ",").alias("cells"), "headers")
 
 
 @query("WITH {GRID} SELECT doc_id, 'Lines of ' || doc_id AS heading, 5::BIGINT AS start_line, CAST(6 + COUNT(*) AS BIGINT) AS end_line FROM li GROUP BY doc_id")
 def n08_table_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = made_markdown(spark, sf_dir).select("doc_id", F.element_at("view.tables", 1).alias("t"))
+    t = made_markdown(spark, sf_dir, "tables").select("doc_id", F.element_at("view.tables", 1).alias("t"))
     return t.select("doc_id", F.col("t.heading_ref").alias("heading"), F.col("t.start_line").cast("long").alias("start_line"), F.col("t.end_line").cast("long").alias("end_line"))
 
 
 # HTML
 
 
-def made_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_html(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Orders as HTML: paragraphs, a heading on a numbered page, and a table whose first
-    cell spans two columns in the header and two rows below it; parsed."""
+    cell spans two columns in the header and two rows below it; parsed, with these parts
+    of the view."""
     o = C.order_docs(spark, sf_dir).select("doc_id", "data")
     cell = lambda r, i: F.element_at(r, i)
     row = lambda r, k: F.concat(F.lit("<tr>"), F.when(k % 2 == 0, F.concat(F.lit("<td rowspan=2>"), cell(r, 1))).otherwise(""), F.lit("<td>"), cell(r, 2), F.lit("<td> "), cell(r, 3), F.lit(" &ndash; x</tr>"))
@@ -80,7 +81,7 @@ def made_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<html><body>"), paragraphs, F.lit('<section data-page-number="'), page, F.lit('"><h2>Lines <b>of</b> '), F.col("doc_id"),
         F.lit("</h2><table><thead><tr><th colspan=2>Line<th>Status</thead>"), F.array_join(F.transform("data", row), ""), F.lit("</table></section><script>no</script></body></html>"),
     )
-    return structure.with_view(o.select("doc_id", F.lit("html").alias("kind"), text.alias("text")), "kind", "text")
+    return structure.with_view(o.select("doc_id", F.lit("html").alias("kind"), text.alias("text")), "kind", "text", parts=parts)
 
 
 # a row without its own first cell takes the one that spans it
@@ -90,26 +91,26 @@ HTML_ROWS = "hr AS (SELECT doc_id, r - 1 AS n, CASE WHEN (r - 1) % 2 = 1 THEN a
 @query("WITH {GRID} SELECT doc_id, 'Lines of ' || doc_id AS text, CAST(1 + 4 * (doc_id % 4) AS BIGINT) AS line, CAST(doc_id % 3 + 1 AS BIGINT) AS page FROM docs")
 def n09_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks in document order with their lines: N-09, N-11 and the offsets of W-07."""
-    h = made_html(spark, sf_dir).select("doc_id", F.element_at("view.headings", 1).alias("h"), F.element_at("view.tables", 1)["page"].alias("page"))
+    h = made_html(spark, sf_dir, "headings", "tables").select("doc_id", F.element_at("view.headings", 1).alias("h"), F.element_at("view.tables", 1)["page"].alias("page"))
     return h.select("doc_id", "h.text", F.col("h.line").cast("long").alias("line"), F.col("page").cast("long").alias("page"))
 
 
 @query("WITH {GRID} SELECT doc_id, CAST(doc_id % 3 + 1 AS BIGINT) AS page, 1::BIGINT AS page_sections FROM docs")
 def n18_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page context of the last section (N-10, N-17) and the count of page sections."""
-    v = made_html(spark, sf_dir)
+    v = made_html(spark, sf_dir, "sections", "page_sections")
     return v.select("doc_id", F.element_at("view.sections", -1)["page"].cast("long").alias("page"), F.col("view.page_sections").cast("long").alias("page_sections"))
 
 
 @query("WITH {GRID}, " + HTML_ROWS + " SELECT doc_id, CAST(n AS BIGINT) AS row, a || ',' || b || ',' || c AS cells FROM hr")
 def n14_html_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = made_html(spark, sf_dir).select("doc_id", F.posexplode(F.element_at("view.tables", 1)["rows"]).alias("i", "cells"))
+    t = made_html(spark, sf_dir, "tables").select("doc_id", F.posexplode_outer(F.element_at("view.tables", 1)["rows"]).alias("i", "cells")).where("i is not null")  # outer, as in j03_children
     return t.select("doc_id", (F.col("i") + 1).cast("long").alias("row"), F.array_join("cells", ",").alias("cells"))
 
 
 @query("WITH {GRID} SELECT doc_id, 'Line,Line,Status' AS headers, COUNT(*) AS n_rows FROM li GROUP BY doc_id")
 def n15_html_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = made_html(spark, sf_dir).select("doc_id", F.element_at("view.tables", 1).alias("t"))
+    t = made_html(spark, sf_dir, "tables").select("doc_id", F.element_at("view.tables", 1).alias("t"))
     return t.select("doc_id", F.array_join("t.headers", ",").alias("headers"), F.size("t.rows").cast("long").alias("n_rows"))
 
 
@@ -117,12 +118,12 @@ def n15_html_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, repeat('a b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || chr(10), (doc_id % 4)::INT) || '## Lines of ' || doc_id || chr(10) || chr(10) || 'Line | Line | Status' || chr(10) || body AS normalized FROM body""")
 def n16_html_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments made normal (N-12) and all blocks as lines."""
-    return made_html(spark, sf_dir).select("doc_id", F.col("view.normalized").alias("normalized"))
+    return made_html(spark, sf_dir, "normalized").select("doc_id", F.col("view.normalized").alias("normalized"))
 
 
 @query("WITH {GRID} SELECT doc_id, 'Lines of ' || doc_id AS heading, CAST(1 + 4 * (doc_id % 4) AS BIGINT) AS start_line, CAST(3 + 4 * (doc_id % 4) + COUNT(*) AS BIGINT) AS end_line FROM li GROUP BY doc_id")
 def n17_html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = made_html(spark, sf_dir).select("doc_id", F.element_at("view.sections", -1).alias("s"))
+    s = made_html(spark, sf_dir, "sections").select("doc_id", F.element_at("view.sections", -1).alias("s"))
     return s.select("doc_id", F.col("s.heading.text").alias("heading"), F.col("s.start_line").cast("long").alias("start_line"), F.col("s.end_line").cast("long").alias("end_line"))
 
 
