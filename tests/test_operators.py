@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmatch import catalog
+from docmatch.functions import blake3
 from docmatch.functions.blake3 import blake3_hex
 from docmatch.functions.regexlang import RegexError, compile_python, escape, glob_to_regex, to_java
 from docmatch.operators import assertions as A
@@ -27,6 +28,15 @@ def test_blake3_vectors():
     assert content_hash({"a": {"x": 1, "b": 2}}, ["a"]) == content_hash({"a": {"b": 2, "x": 1}}, ["a"]) != content_hash({"a": {"b": 2, "x": 1}}, ["a", "c"])
 
 
+def test_blake3_of_many_messages_compresses_them_together(monkeypatch):
+    sizes = [0, 1, 64, 65, 1024, 1025, 2048, 2049, 3073, 5121, 9217] * 3
+    messages = [bytes((i + k) % 251 for i in range(n)) for k, n in enumerate(sizes)]
+    alone, calls, compress = [blake3_hex(m) for m in messages], [], blake3._compress
+    monkeypatch.setattr(blake3, "_compress", lambda *a: calls.append(1) or compress(*a))
+    # 16 blocks of a chunk, and at most 4 levels of parents
+    assert blake3.blake3_many(messages) == alone and len(calls) == 20 and blake3.blake3_many([]) == []
+
+
 def test_bm25_over_all_languages(spark, tmp_path):
     rows = [(1, "An idiot, an IDIOT", "en"), (2, "Plain words here", "en"), (3, "Ein Idiot\u2014größer als 3 andere", "de"), (4, "l\u2019idiot \u00abidiote\u00bb été", "fr"), (5, "", "en"), (6, "nada de nada", None), (7, "idiot", None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -265,3 +275,18 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert run.returncode == 0 and int(run.stdout.split()[0]) > 60, run.stderr
+
+
+def test_a_sheet_is_looked_up_once_for_a_range(spark):
+    from docmatch.operators.extract import extract_column
+    from docmatch.plans.definitions import Assertion, Extract
+
+    found = extract_column(Extract("r", "range", {"sheet": "Sheet1", "range": "A2:D5"}))
+    judged = A.Builder(False).detail(Assertion("range_populated", {"sheet": "Sheet1", "range": "A2:E5", "min_pct": 0.75}))
+    # the sheet's own lookup, and the rows and columns of the range
+    assert str(found).count("sheets") == 1
+    assert str(found).count("sequence") == 2 and str(judged).count("sequence") == 2
+    rows = [["a", "b"], ["", "\u2003"], ["1"], [None, "x"]]
+    docs = spark.createDataFrame([("csv", "f.csv", [("Sheet1", 1, 1, rows)])], "kind string, path string, sheets array<struct<name:string,origin_row:int,origin_col:int,rows:array<array<string>>>>")
+    r = docs.select(found.alias("r"), judged.alias("d")).first()
+    assert json.loads(r.r) == {"range": "A2:D5", "row_count": 3} and r.d == "range A2:E5 is populated to 0.2, expected at least 0.75"
