@@ -290,3 +290,39 @@ def test_a_sheet_is_looked_up_once_for_a_range(spark):
     docs = spark.createDataFrame([("csv", "f.csv", [("Sheet1", 1, 1, rows)])], "kind string, path string, sheets array<struct<name:string,origin_row:int,origin_col:int,rows:array<array<string>>>>")
     r = docs.select(found.alias("r"), judged.alias("d")).first()
     assert json.loads(r.r) == {"range": "A2:D5", "row_count": 3} and r.d == "range A2:E5 is populated to 0.2, expected at least 0.75"
+
+
+def test_nearest_texts_weigh_few_distances(monkeypatch):
+    from docmatch.operators import diagnose
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    pairs = [("", ""), ("", "ab"), ("abc", ""), ("kitten", "sitting"), ("a z 4", "zebra 44 a"), ("ab" * 50, "ba" * 47 + "c"), ("x" * 64, "x" * 65)]
+    assert [diagnose.levenshtein(*p) for p in pairs] == [plain(*p) for p in pairs]
+    lines = [f"{'Word ' * (i % 40)}{i % 7}Z\u00e9" for i in range(400)]
+    forms = [diagnose.distance_form(t) for t in lines]
+    want = diagnose.distance_form("[A-Z]{4}")
+    made, weigh = [], diagnose.levenshtein
+    monkeypatch.setattr(diagnose, "levenshtein", lambda *a: made.append(a) or weigh(*a))
+    order = sorted(range(400), key=lambda i: plain(want, forms[i]))
+    assert diagnose.partial_lines("\n".join(lines), "[A-Z]{4}") == [lines[i] for i in order[:5]] and len(made) < 40
+    target = "Word word 3z"
+    assert diagnose.nearest(target, lines) == min(lines, key=lambda t: (plain(diagnose.distance_form(target), diagnose.distance_form(t)), len(t.encode()))) and len(made) < 80
+
+
+def test_queries_of_failures_and_headings_look_once(spark, tmp_path):
+    texts = [(1, "# x\n ##Two # \nplain"), (2, ""), (3, "WORD @mail"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    q = catalog.queries()
+    failures = q["g22_failure_histogram"](spark, str(tmp_path))
+    assert {r.name: r.n for r in failures.collect()} == {"text_contains__mail": 3, "text_regex__a_z_4": 3}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan(failures)  # no contexts are made for counts
+    nearest = q["o07_nearest_heading"](spark, str(tmp_path))
+    assert {r.doc_id: r.nearest for r in nearest.collect()} == {1: "Two #", 3: "WORD @mail"} and plan(nearest).count("(?!#)") == 1
